@@ -34,6 +34,13 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return (F.lit(1.0) - cosine_sim(a, b)).cast("float")
 
 
+def unit(a: Column) -> Column:
+    """Unit length in double; a zero vector stays as it is."""
+    length = norm(a)
+    return F.when(length > 0.0, F.transform(a, lambda x: x / length)).otherwise(
+        F.transform(a, lambda x: x.cast("double")))
+
+
 def l2_normalize(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
     length = norm(a)

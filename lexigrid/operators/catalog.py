@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.functions.text import names
-from lexigrid.functions.vectors import cosine_sim
+from lexigrid.functions.vectors import cosine_sim, dot_product, mean_vector, unit
 from lexigrid.operators.ranking import draw, joined_list, top_per_group
 from lexigrid.operators.similarity import join_groups
 
@@ -149,3 +149,16 @@ def topic_overlap(topics: DataFrame, table: str, topic: str, min_ratio: float) -
     return near.withColumn("n_shared", shared).withColumn("ratio", ratio).where(F.col("ratio") >= min_ratio).select(
         F.col("a_t").alias("table_a"), F.col("b_t").alias("table_b"), F.col("a_n").alias("tables_a"),
         F.col("b_n").alias("tables_b"), F.col("a_k").alias("n_a"), F.col("b_k").alias("n_b"), "n_shared", "ratio")
+
+
+def pair_similarity(pairs: DataFrame, columns: DataFrame, table: str, vec: str = "vec") -> DataFrame:
+    """Mean similarity between the columns of the two tables of each pair.
+
+    For unit vectors the mean over all column pairs is the product of the tables' mean
+    vectors, so the survivors of a coarse filter cost one product each.  Adds ``col_sim``.
+    """
+    means = mean_vector(columns.select(table, unit(F.col(vec)).alias("_u")), [table], "_u", "_m")
+    a = means.select(F.col(table).alias("table_a"), F.col("_m").alias("_a"))
+    b = means.select(F.col(table).alias("table_b"), F.col("_m").alias("_b"))
+    joined = pairs.join(a, "table_a").join(b, "table_b")
+    return joined.withColumn("col_sim", F.round(dot_product(F.col("_a"), F.col("_b")), 6)).drop("_a", "_b")

@@ -136,7 +136,12 @@ def vector_of(windows: Column, encoder: Encoder) -> Column:
             out[valid] = unit_rows(pooled)
             yield to_lists(out, valid)
 
-    return encode_windows(windows)
+    return once(encode_windows)(windows)
+
+
+def once(udf):
+    """Keep the planner from computing a costly function again in the filters it derives."""
+    return udf.asNondeterministic()
 
 
 def window_starts(n_tokens: Column, n_ctx: int) -> Column:

@@ -130,8 +130,8 @@ BITS = 20
 
 
 def slot(term: Column, bits: int = BITS) -> Column:
-    """Position of a term in a filter of 2**bits bits."""
-    return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % F.lit(1 << bits)
+    """Position (from 1) of a term in a filter of 2**bits bits."""
+    return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % F.lit(1 << bits) + 1
 
 
 def bitmap_store(sets: DataFrame, domain: str = "domain_name", bits: int = BITS) -> DataFrame:

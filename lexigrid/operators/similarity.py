@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.functions.vectors import mean_vector
+from lexigrid.functions.vectors import dot_product, mean_vector, unit
+from lexigrid.operators.encode import once
 from lexigrid.session import SMALL_SIDE_ROWS, fits, keep
 
 DIGITS = 6
@@ -141,7 +142,7 @@ def _stream_probes(probes, table, k, corpus_key, extra, group, vec, score, rank)
         return pa.ListArray.from_arrays(pa.array(sizes), cells)
 
     cols = probes.columns
-    found = probes.withColumn("_hits", hits(vec, *group))
+    found = probes.withColumn("_hits", once(hits)(vec, *group))
     found = found.select(*cols, F.posexplode("_hits").alias("_pos", "_hit"))
     # a local relation, so its size is known and the planner picks the join
     labels = spark.createDataFrame(attrs.append_column("_at", pa.array(np.arange(attrs.num_rows, dtype=np.int32))))
@@ -152,16 +153,18 @@ def _stream_probes(probes, table, k, corpus_key, extra, group, vec, score, rank)
 def cross_blocks(probes, corpus, k, probe_key, corpus_key, extra, group, vec, score, rank) -> DataFrame:
     """Blocks of probes against blocks of the corpus; each task keeps k per probe."""
     cols = probes.columns
-    probe_blocks = probes.select(*group, F.struct(*probe_key).alias("_p"), F.col(vec).alias("_pv"))
+    probes, corpus = keep(probes), keep(corpus)
+    own = [f"_p{i}" for i in range(len(probe_key))]
+    probe_blocks = probes.select(*group, *[F.col(c).alias(o) for c, o in zip(probe_key, own)], F.col(vec).alias("_pv"))
     corpus_blocks = corpus.select(*group, F.col(corpus_key).alias("_c"), F.col(vec).alias("_cv"))
     n_p, n_c = _block_counts(probe_blocks, group), _block_counts(corpus_blocks, group)
     counts = _both(n_p.withColumnRenamed("_nb", "_np"), n_c.withColumnRenamed("_nb", "_nc"), group)
-    left = _by_group(probe_blocks, counts, group).withColumn("_bp", F.expr("pmod(xxhash64(_p), _np)")) \
+    left = _by_group(probe_blocks, counts, group).withColumn("_bp", F.expr(f"pmod(xxhash64({', '.join(own)}), _np)")) \
         .withColumn("_bc", F.explode(F.expr("sequence(0L, _nc - 1)")))
     right = _by_group(corpus_blocks, counts, group).withColumn("_bc", F.expr("pmod(xxhash64(_c), _nc)")) \
         .withColumn("_bp", F.explode(F.expr("sequence(0L, _np - 1)")))
-    p_type = left.schema["_p"].dataType.simpleString()
-    c_type = right.schema["_c"].dataType.simpleString()
+    kinds = {c: left.schema[c].dataType.simpleString() for c in own}
+    kinds["_c"] = right.schema["_c"].dataType.simpleString()
 
     def task(a: pa.Table, b: pa.Table) -> pa.Table:
         keys = b.column("_c").combine_chunks()
@@ -169,19 +172,21 @@ def cross_blocks(probes, corpus, k, probe_key, corpus_key, extra, group, vec, sc
             r, c, v = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         else:
             r, c, v = _best(_scores(matrix_of(a.column("_pv")), matrix_of(b.column("_cv"))), _ranks(keys), k)
-        return pa.table({"_p": a.column("_p").combine_chunks().take(pa.array(r)),
+        return pa.table({**{o: a.column(o).combine_chunks().take(pa.array(r)) for o in own},
                          "_c": keys.take(pa.array(c)), "_score": pa.array(v, pa.float64())})
 
     by = [*group, "_bp", "_bc"]
-    found = (left.select(*by, "_p", "_pv").groupBy(*by)
+    found = (left.select(*by, *own, "_pv").groupBy(*by)
              .cogroup(right.select(*by, "_c", "_cv").groupBy(*by))
-             .applyInArrow(task, f"_p {p_type}, _c {c_type}, _score double"))
-    w = Window.partitionBy("_p").orderBy(F.desc("_score"), F.asc("_c"))
+             .applyInArrow(task, ", ".join([*[f"{c} {t}" for c, t in kinds.items()], "_score double"])))
+    w = Window.partitionBy(*own).orderBy(F.desc("_score"), F.asc("_c"))
     top = found.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
-    top = top.select(*[F.col(f"_p.{c}").alias(c) for c in probe_key],
+    top = top.select(*[F.col(o).alias(c) for c, o in zip(probe_key, own)],
                      F.col("_c").alias(corpus_key), F.col("_score").alias(score), F.col("_rank").alias(rank))
-    attrs = corpus.select(corpus_key, *extra)
-    return probes.join(top, probe_key).join(attrs, corpus_key).select(*cols, corpus_key, *extra, score, rank)
+    out = probes.join(top, probe_key)
+    if extra:
+        out = out.join(corpus.select(corpus_key, *extra), corpus_key)
+    return out.select(*cols, corpus_key, *extra, score, rank)
 
 
 def _ranks(keys: pa.Array) -> np.ndarray:
@@ -301,7 +306,7 @@ def _cells(rows: DataFrame, group: list[str], threshold: float | None, rows_per_
         offsets = np.arange(len(turn) + 1, dtype=np.int32) * turn.shape[1]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(turn.ravel()))
 
-    placed = rows.withColumn("_ang", angles("_vec"))
+    placed = rows.withColumn("_ang", once(angles)("_vec"))
     placed = placed.withColumn("_cell", F.expr("cast(array_position(_ang, array_min(_ang)) as int)"))
     n_pivots = len(shared.value)
     bounds = placed.groupBy(*group, "_cell").agg(
@@ -507,14 +512,10 @@ def mean_similarity(df: DataFrame, key: list[str], group: list[str], vec: str =
     vector sum, so the mean over the others is (v . S - v . v) / (n - 1).  Rows alone in
     their group get NULL.  Keys must be unique within a group.
     """
-    from lexigrid.functions.vectors import dot_product, norm
-
-    length = norm(F.col(vec))
-    unit = F.when(length > 0, F.transform(vec, lambda x: x / length)).otherwise(F.transform(vec, lambda x: x.cast("double")))
-    rows = keep(df.withColumn("_u", unit))
+    rows = keep(df.withColumn("_u", unit(F.col(vec))))
     sums = mean_vector(rows, group, "_u", "_mean").join(
         rows.groupBy(*group).agg(F.count("_u").alias("_n")), group)
-    own = F.when(length > 0, 1.0).otherwise(0.0)
+    own = dot_product(F.col("_u"), F.col("_u"))
     value = (dot_product(F.col("_u"), F.col("_mean")) * F.col("_n") - own) / F.nullif(F.col("_n") - 1, F.lit(0))
     return join_groups(rows, sums, group).withColumn(out, F.round(value, DIGITS)).drop("_u", "_mean", "_n")
 

@@ -6,7 +6,8 @@ from lexigrid.plans.registry import CHECKS, QUERIES, Query
 
 
 def _load() -> None:
-    from lexigrid.plans import text_queries, vector_queries  # noqa: F401
+    from lexigrid.plans import (  # noqa: F401
+        catalog_queries, evaluate_queries, place_queries, profile_queries, set_queries, text_queries, vector_queries)
 
 
 def all_queries() -> dict[str, Query]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.operators.encode import to_lists
+from lexigrid.operators.encode import once, to_lists
 from lexigrid.operators.sets import insert_if_absent
 
 
@@ -71,7 +71,7 @@ def pack(vec: Column) -> Column:
             ok = batch.is_valid().to_pylist()
             yield pa.array([data[4 * a:4 * b] if v else None for a, b, v in zip(offsets[:-1], offsets[1:], ok)], pa.binary())
 
-    return F.base64(to_bytes(vec))
+    return F.base64(once(to_bytes)(vec))
 
 
 def unpack(packed: Column, dim: int) -> Column:
@@ -88,7 +88,7 @@ def unpack(packed: Column, dim: int) -> Column:
             out[valid] = np.frombuffer(b"".join(kept), dtype="<f4").reshape(-1, dim)
             yield to_lists(out, valid)
 
-    return from_bytes(F.unbase64(packed))
+    return once(from_bytes)(F.unbase64(packed))
 
 
 STORE_KEY = ["geonameid", "model_id"]
