@@ -19,14 +19,18 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot_product(a, a))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` loops over a list."""
+    return F.transform(F.array(value), use)[0]
+
+
 def cosine_sim(a: Column, b: Column) -> Column:
     """Cosine in double.  NULL in, NULL out; zero norm 0.0; unequal or empty lists NaN."""
-    scale = norm(a) * norm(b)
+    cosine = let(norm(a) * norm(b), lambda s: F.when(s == 0.0, F.lit(0.0)).otherwise(dot_product(a, b) / s))
     return (
         F.when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
         .when((F.size(a) != F.size(b)) | (F.size(a) == 0), F.lit(float("nan")))
-        .when(scale == 0.0, F.lit(0.0))
-        .otherwise(dot_product(a, b) / scale)
+        .otherwise(cosine)
     )
 
 
@@ -36,16 +40,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Unit length in double; a zero vector stays as it is."""
-    length = norm(a)
-    return F.when(length > 0.0, F.transform(a, lambda x: x / length)).otherwise(
-        F.transform(a, lambda x: x.cast("double")))
+    return let(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0.0, x / n).otherwise(x.cast("double"))))
 
 
 def l2_normalize(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    length = norm(a)
-    return F.when(length > 0.0, F.transform(a, lambda x: (x / length).cast("float"))).otherwise(
-        F.transform(a, lambda x: x.cast("float")))
+    return F.transform(unit(a), lambda x: x.cast("float"))
 
 
 def mean_vector(df: DataFrame, group: list[str], vec: str = "vec", out: str = "vec") -> DataFrame:
@@ -76,5 +76,5 @@ def register(spark: SparkSession) -> None:
         "float(1.0D - cosine_sim(a, b))")
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION l2_normalize(a {vec}) RETURNS ARRAY<FLOAT> RETURN "
-        "CASE WHEN dot_product(a, a) > 0.0D "
-        "THEN transform(a, x -> float(x / sqrt(dot_product(a, a)))) ELSE transform(a, x -> float(x)) END")
+        "transform(array(sqrt(dot_product(a, a))), n -> "
+        "transform(a, x -> float(CASE WHEN n > 0.0D THEN x / n ELSE x END)))[0]")

@@ -143,8 +143,10 @@ def topic_overlap(topics: DataFrame, table: str, topic: str, min_ratio: float) -
     b = heads.select("_w", *[F.col(c).alias(f"b{c}") for c in ("_t", "_n", "_s", "_k")])
     near = (a.join(b, "_w").where((F.col("a_t") < F.col("b_t"))
                                   & (F.least("a_k", "b_k") >= F.greatest("a_k", "b_k") * min_ratio - 1e-9))
-            .drop("_w").dropDuplicates(["a_t", "b_t"]))
-    shared = F.size(F.array_intersect("a_s", "b_s"))
+            .withColumn("_both", F.array_intersect("a_s", "b_s")))
+    # a pair meets once per topic in both heads: count it where it meets first
+    near = near.where(F.col("_both")[0] == F.col("_w"))
+    shared = F.size("_both")
     ratio = F.round(shared / (F.col("a_k") + F.col("b_k") - shared), 6)
     return near.withColumn("n_shared", shared).withColumn("ratio", ratio).where(F.col("ratio") >= min_ratio).select(
         F.col("a_t").alias("table_a"), F.col("b_t").alias("table_b"), F.col("a_n").alias("tables_a"),

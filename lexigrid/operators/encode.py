@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions.text import normalize_term, text_normalizer, words
+from lexigrid.functions.vectors import let
 
 CHARS_PER_CHUNK = 2_000_000
 
@@ -154,8 +155,8 @@ def window_starts(n_tokens: Column, n_ctx: int) -> Column:
 
 def token_windows(tokens: Column, n_ctx: int) -> Column:
     """The windows themselves, tokens joined by one blank."""
-    return F.transform(window_starts(F.size(tokens), n_ctx),
-                       lambda s: F.array_join(F.slice(tokens, s + 1, n_ctx), " "))
+    return let(tokens, lambda t: F.transform(
+        window_starts(F.size(t), n_ctx), lambda s: F.array_join(F.slice(t, s + 1, n_ctx), " ")))
 
 
 def embed(text: Column, encoder: Encoder = DEFAULT, n_ctx: int | None = None) -> Column:

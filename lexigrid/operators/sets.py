@@ -52,7 +52,8 @@ def members(df: DataFrame, domain: str | Column, label: str | Column, term: Colu
 
 
 def cardinality(sets: DataFrame) -> DataFrame:
-    return sets.groupBy("domain_name", "domain_label").agg(F.count_distinct("term").alias("n_members"))
+    """Members per domain; ``sets`` holds distinct rows, as :func:`members` makes them."""
+    return sets.groupBy("domain_name", "domain_label").agg(F.count("*").alias("n_members"))
 
 
 STRATEGIES = ("whole", "tokens", "both")
@@ -60,26 +61,27 @@ STRATEGIES = ("whole", "tokens", "both")
 
 def probe_terms(columns: DataFrame, key: list[str], name: str, strategy: str = "both",
                 min_token: int = 1) -> DataFrame:
-    """Distinct (key, term) of column names: whole, split at ``_``, or the union of both."""
+    """(key, term) of column names: whole, split at ``_``, or the union of both."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
     whole = F.lower(F.col(name))
     tokens = F.filter(F.split(whole, "_"), lambda t: F.length(t) >= min_token)
     terms = {"whole": F.array(whole), "tokens": tokens, "both": F.array_union(F.array(whole), tokens)}[strategy]
     return (columns.where(F.col(name).isNotNull()).select(*key, F.explode(terms).alias("term"))
-            .where(F.length("term") > 0).distinct())
+            .where(F.length("term") > 0))
 
 
 def containment(probes: DataFrame, sets: DataFrame, key: list[str],
                 domain: list[str] | None = None) -> DataFrame:
     """Share and number of each probe's terms in each domain it meets.
 
-    ``probes`` holds distinct (key, term).  Returns key, domain, containment, n_matches, n_terms.
+    ``probes`` holds (key, term), repeats allowed; ``sets`` holds distinct rows.  Returns
+    key, domain, containment, n_matches, n_terms.
     """
     domain = domain or ["domain_name", "domain_label"]
-    hits = (probes.join(sets.select(*domain, "term").distinct(), "term")
-            .groupBy(*key, *domain).agg(F.count("*").alias("n_matches")))
-    totals = probes.groupBy(*key).agg(F.count("*").alias("n_terms"))
+    hits = (probes.join(sets.select(*domain, "term"), "term")
+            .groupBy(*key, *domain).agg(F.count_distinct("term").alias("n_matches")))
+    totals = probes.groupBy(*key).agg(F.count_distinct("term").alias("n_terms"))
     return hits.join(totals, key).select(
         *key, *domain, F.round(F.col("n_matches") / F.col("n_terms"), 6).alias("containment"), "n_matches", "n_terms")
 

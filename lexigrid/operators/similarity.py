@@ -27,6 +27,8 @@ from lexigrid.session import SMALL_SIDE_ROWS, fits, keep
 
 DIGITS = 6
 ROWS_PER_BLOCK = 2048
+# a matrix is collected and broadcast only within both bounds
+SMALL_MATRIX_ROWS = 50_000
 SMALL_MATRIX_CELLS = 16_000_000
 PIVOTS = 16
 
@@ -75,8 +77,8 @@ def _best(scores: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 def _collect_matrix(df: DataFrame, vec: str) -> pa.Table | None:
     """The rows of ``df`` if their number and matrix are within bounds, else None."""
-    table = df.limit(SMALL_SIDE_ROWS + 1).toArrow()
-    if table.num_rows > SMALL_SIDE_ROWS:
+    table = df.limit(SMALL_MATRIX_ROWS + 1).toArrow()
+    if table.num_rows > SMALL_MATRIX_ROWS:
         return None
     cells = sum(len(c.flatten()) for c in table.column(vec).chunks)
     return table if cells <= SMALL_MATRIX_CELLS else None
@@ -205,7 +207,7 @@ def search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: str, corpus_
     probes = probes.where(F.col(vec).isNotNull())
     corpus = corpus.where(F.col(vec).isNotNull())
     small = _collect_matrix(probes.select(probe_key, vec), vec)
-    if small is None or small.num_rows * k > SMALL_SIDE_ROWS:
+    if small is None or small.num_rows * k > SMALL_MATRIX_ROWS:
         found = cross_blocks(probes.select(probe_key, vec), corpus.select(corpus_key, vec), k,
                               [probe_key], corpus_key, [], [], vec, score, rank)
         return found.select(probe_key, corpus_key, score, rank)
@@ -278,7 +280,7 @@ def _pair_tasks(df: DataFrame, key: str, vec: str, group: list[str], threshold:
     pivots and cells into hash blocks; with a threshold, cell pairs that the triangle
     inequality rules out are never formed.
     """
-    rows = df.where(F.col(vec).isNotNull()).select(*group, F.col(key).alias("_key"), F.col(vec).alias("_vec"))
+    rows = keep(df.where(F.col(vec).isNotNull()).select(*group, F.col(key).alias("_key"), F.col(vec).alias("_vec")))
     sizes = keep(rows.groupBy(*group).agg(F.count("*").alias("_n")))
     any_large = sizes.where(F.col("_n") > rows_per_block).limit(1).count() > 0
     one = F.lit(0).cast("long")

@@ -9,13 +9,14 @@ from lexigrid.plans import checks as c
 from lexigrid.plans import tables as t
 from lexigrid.plans.catalog_queries import taxonomy_vectors
 from lexigrid.plans.registry import query
+from lexigrid.session import keep
 
 TABLE = catalog.TABLE
 BELOW = 0.12
 STAR = 0.65
 TIGHT = 0.80
 CONFIDENT = 0.3
-OVERLAP = 0.6
+OVERLAP = 0.8  # four of five topics shared
 _ENUMS = c.enum_members(sets.ENUMERATIONS)
 
 
@@ -102,10 +103,10 @@ star AS (SELECT r.domain, r.resource_id, r.field_name, least(r.field_name, coale
 def _layers(spark, d):
     """(columns known to an enumeration, clusters of the others, topics of the clusters)"""
     known = sets.enumerations(spark)
-    cols = t.conversation_columns(spark, d)
+    cols = keep(t.conversation_columns(spark, d))
     stripped = sets.matches(cols, known, TABLE, "field_name").select(*TABLE, "field_name", "domain_label").distinct()
-    rest = encode.encode(sets.strip_matched(cols, known, "field_name"), "field_name")
-    clusters = components.star_clusters(rest, "field_name", STAR, TABLE)
+    rest = keep(encode.encode(sets.strip_matched(cols, known, "field_name"), "field_name"))
+    clusters = keep(components.star_clusters(rest, "field_name", STAR, TABLE))
     labels = profile.label_clusters(clusters, rest, "field_name", TABLE, taxonomy_vectors(spark, d))
     return stripped, clusters, labels
 
@@ -153,7 +154,7 @@ FROM ov JOIN means x ON x.k = table_a JOIN means y ON y.k = table_b WHERE round(
 def coarse_match(spark, d):
     """Tables that share most topics, then how alike their columns are."""
     key = F.concat_ws(".", "domain", F.col("resource_id").cast("string"))
-    cols = _vectors(spark, d).select(key.alias("k"), "field_name", "vec")
+    cols = keep(_vectors(spark, d).select(key.alias("k"), "field_name", "vec"))
     topics = profile.label_columns(cols, ["k", "field_name"], taxonomy_vectors(spark, d)).where(F.col("topic_score") > CONFIDENT)
     pairs = catalog.topic_overlap(topics, "k", "topic", OVERLAP)
     return catalog.pair_similarity(pairs, cols, "k")

@@ -47,9 +47,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_kept: list[DataFrame] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Persist a frame that several branches of one plan read; lost parts are recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _kept[-1]
+
+
+def release() -> None:
+    """Drop every frame kept so far; for long sessions, once results have been written."""
+    while _kept:
+        _kept.pop().unpersist()
 
 
 def fits(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> bool:
