@@ -13,6 +13,7 @@ from lexigrid.functions.text import names
 from lexigrid.functions.vectors import cosine_sim, dot_product, mean_vector, unit
 from lexigrid.operators.ranking import draw, joined_list, top_per_group
 from lexigrid.operators.similarity import join_groups
+from lexigrid.session import keep
 
 TABLE = ["domain", "resource_id"]
 OPEN_END = "9999-12-31"
@@ -127,28 +128,32 @@ def topic_overlap(topics: DataFrame, table: str, topic: str, min_ratio: float) -
     """Pairs of tables whose topics overlap: shared / either is at least ``min_ratio``.
 
     Tables with the same topics are one entry, named by the smallest table, with their
-    number.  A pair over the ratio must share one of the rarest topics of each side (prefix
-    filter), so common topics pair nothing up.  Returns table_a, table_b, tables_a,
-    tables_b, n_a, n_b, n_shared, ratio (Jaccard).
+    number.  Topics are put in one order, rarest first; a pair over the ratio must share a
+    topic in the heads of both lists, early enough for the rest to reach the ratio.  So
+    common topics pair little up, and only such pairs are compared in full.  Returns
+    table_a, table_b, tables_a, tables_b, n_a, n_b, n_shared, ratio (Jaccard).
     """
     rows = topics.select(F.col(table).alias("_t"), F.col(topic).alias("_w")).distinct()
+    rows = keep(rows)
     freq = rows.groupBy("_w").agg(F.count("*").alias("_f"))
     sets = (join_groups(rows, freq, ["_w"]).groupBy("_t")
             .agg(F.array_sort(F.collect_list(F.struct("_f", "_w"))).alias("_s")))
     sets = sets.groupBy("_s").agg(F.min("_t").alias("_t"), F.count("*").alias("_n"))
-    sets = sets.select("_t", "_n", F.transform("_s", lambda s: s["_w"]).alias("_s"), F.size("_s").alias("_k"))
+    sets = keep(sets.select("_t", "_n", F.transform("_s", lambda s: s["_w"]).alias("_s"), F.size("_s").alias("_k")))
     head = F.slice("_s", F.lit(1), (F.col("_k") - F.ceil(F.col("_k") * min_ratio - 1e-9) + 1).cast("int"))
-    heads = sets.select("_t", "_n", "_s", "_k", F.explode(head).alias("_w"))
-    a = heads.select("_w", *[F.col(c).alias(f"a{c}") for c in ("_t", "_n", "_s", "_k")])
-    b = heads.select("_w", *[F.col(c).alias(f"b{c}") for c in ("_t", "_n", "_s", "_k")])
-    near = (a.join(b, "_w").where((F.col("a_t") < F.col("b_t"))
-                                  & (F.least("a_k", "b_k") >= F.greatest("a_k", "b_k") * min_ratio - 1e-9))
-            .withColumn("_both", F.array_intersect("a_s", "b_s")))
-    # a pair meets once per topic in both heads: count it where it meets first
-    near = near.where(F.col("_both")[0] == F.col("_w"))
-    shared = F.size("_both")
-    ratio = F.round(shared / (F.col("a_k") + F.col("b_k") - shared), 6)
-    return near.withColumn("n_shared", shared).withColumn("ratio", ratio).where(F.col("ratio") >= min_ratio).select(
+    heads = sets.select("_t", "_k", F.posexplode(head).alias("_i", "_w"))
+    a = heads.select("_w", *[F.col(c).alias(f"a{c}") for c in ("_t", "_k", "_i")])
+    b = heads.select("_w", *[F.col(c).alias(f"b{c}") for c in ("_t", "_k", "_i")])
+    reach = F.least(F.col("a_k") - F.col("a_i"), F.col("b_k") - F.col("b_i"))
+    needed = (F.col("a_k") + F.col("b_k")) * (min_ratio / (1 + min_ratio)) - 1e-9
+    # at the first topic a pair shares, ``reach`` bounds all it can share
+    near = (a.join(b, "_w").where((F.col("a_t") < F.col("b_t")) & (reach >= needed))
+            .select("a_t", "b_t").distinct())
+    full = near.join(sets.select(*[F.col(c).alias(f"a{c}") for c in ("_t", "_n", "_s", "_k")]), "a_t").join(
+        sets.select(*[F.col(c).alias(f"b{c}") for c in ("_t", "_n", "_s", "_k")]), "b_t")
+    shared = F.size(F.array_intersect("a_s", "b_s"))
+    ratio = F.round(F.col("n_shared") / (F.col("a_k") + F.col("b_k") - F.col("n_shared")), 6)
+    return full.withColumn("n_shared", shared).withColumn("ratio", ratio).where(F.col("ratio") >= min_ratio).select(
         F.col("a_t").alias("table_a"), F.col("b_t").alias("table_b"), F.col("a_n").alias("tables_a"),
         F.col("b_n").alias("tables_b"), F.col("a_k").alias("n_a"), F.col("b_k").alias("n_b"), "n_shared", "ratio")
 

@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions.text import normalize_term, text_normalizer, words
-from lexigrid.functions.vectors import let
 
 CHARS_PER_CHUNK = 2_000_000
 
@@ -154,24 +153,25 @@ def window_starts(n_tokens: Column, n_ctx: int) -> Column:
 
 
 def token_windows(tokens: Column, n_ctx: int) -> Column:
-    """The windows themselves, tokens joined by one blank."""
-    return let(tokens, lambda t: F.transform(
-        window_starts(F.size(t), n_ctx), lambda s: F.array_join(F.slice(t, s + 1, n_ctx), " ")))
+    """The windows themselves, tokens joined by one blank.  ``tokens`` should be a plain column."""
+    return F.transform(window_starts(F.size(tokens), n_ctx),
+                       lambda s: F.array_join(F.slice(tokens, s + 1, n_ctx), " "))
 
 
-def embed(text: Column, encoder: Encoder = DEFAULT, n_ctx: int | None = None) -> Column:
-    """Vector of a text; texts over ``n_ctx`` tokens are the mean of their windows."""
-    normal = normalize_term(text)
-    if n_ctx is None:
-        windows = F.when(text.isNotNull(), F.array(normal))
-    else:
-        windows = F.when(text.isNotNull(), token_windows(words(normal), n_ctx))
-    return vector_of(windows, encoder)
+def embed(text: Column, encoder: Encoder = DEFAULT) -> Column:
+    """Unit vector of a whole text; NULL stays NULL."""
+    return vector_of(F.when(text.isNotNull(), F.array(normalize_term(text))), encoder)
 
 
 def encode(df: DataFrame, text: str, encoder: Encoder = DEFAULT, n_ctx: int | None = None,
            out: str = "vec") -> DataFrame:
-    return df.withColumn(out, embed(F.col(text), encoder, n_ctx))
+    """Add each text's vector; with ``n_ctx``, longer texts are the mean of their windows."""
+    if n_ctx is None:
+        return df.withColumn(out, embed(F.col(text), encoder))
+    # tokens in a column of their own: the windows refer to them many times
+    tokens = df.withColumn("_tokens", words(normalize_term(F.col(text))))
+    windows = tokens.withColumn("_windows", F.when(F.col("_tokens").isNotNull(), token_windows(F.col("_tokens"), n_ctx)))
+    return windows.withColumn(out, vector_of(F.col("_windows"), encoder)).drop("_tokens", "_windows")
 
 
 def encode_models(df: DataFrame, text: str, encoders: list[Encoder], out: str = "vec") -> DataFrame:

@@ -86,6 +86,29 @@ def containment(probes: DataFrame, sets: DataFrame, key: list[str],
         *key, *domain, F.round(F.col("n_matches") / F.col("n_terms"), 6).alias("containment"), "n_matches", "n_terms")
 
 
+def containment_by_strategy(columns: DataFrame, sets: DataFrame, key: list[str], name: str,
+                            min_token: int = 1) -> DataFrame:
+    """:func:`containment` under all three strategies, from one shuffle of the terms.
+
+    Returns strategy, key, domain_name, domain_label, containment, n_matches, n_terms.
+    """
+    whole = F.lower(F.col(name))
+    tokens = F.filter(F.split(whole, "_"), lambda t: F.length(t) >= min_token)
+    tagged = F.concat(F.array(F.struct(whole.alias("term"), F.lit(True).alias("is_name"))),
+                      F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(False).alias("is_name"))))
+    rows = columns.where(F.col(name).isNotNull()).select(*key, F.inline(tagged)).where(F.length("term") > 0)
+    terms = rows.groupBy(*key, "term").agg(F.bool_or("is_name").alias("_whole"), F.bool_or(~F.col("is_name")).alias("_token"))
+    counts = [F.count_if("_whole").alias("whole"), F.count_if("_token").alias("tokens"), F.count("*").alias("both")]
+    per = lambda df, out: df.select(*[c for c in df.columns if c not in STRATEGIES], F.explode(F.array(*[
+        F.struct(F.lit(s).alias("strategy"), F.col(s).alias(out)) for s in STRATEGIES])).alias("_s")).select("*", "_s.*").drop("_s")
+    totals = per(terms.groupBy(*key).agg(*counts), "n_terms")
+    domain = ["domain_name", "domain_label"]
+    hits = per(terms.join(sets.select(*domain, "term"), "term").groupBy(*key, *domain).agg(*counts), "n_matches")
+    return hits.where(F.col("n_matches") > 0).join(totals, [*key, "strategy"]).select(
+        "strategy", *key, *domain, F.round(F.col("n_matches") / F.col("n_terms"), 6).alias("containment"),
+        "n_matches", "n_terms")
+
+
 def matches(columns: DataFrame, sets: DataFrame, key: list[str], name: str) -> DataFrame:
     """Columns whose whole lower-case name is a member: key, name, domain_name, domain_label."""
     cols = columns.select(*key, F.lower(F.col(name)).alias(name))

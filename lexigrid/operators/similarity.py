@@ -178,8 +178,9 @@ def cross_blocks(probes, corpus, k, probe_key, corpus_key, extra, group, vec, sc
                          "_c": keys.take(pa.array(c)), "_score": pa.array(v, pa.float64())})
 
     by = [*group, "_bp", "_bc"]
-    found = (left.select(*by, *own, "_pv").groupBy(*by)
-             .cogroup(right.select(*by, "_c", "_cv").groupBy(*by))
+    # both sides may stem from one table: give the right one columns of its own
+    right = right.select(*by, "_c", "_cv").toDF(*by, "_c", "_cv")
+    found = (left.select(*by, *own, "_pv").groupBy(*by).cogroup(right.groupBy(*by))
              .applyInArrow(task, ", ".join([*[f"{c} {t}" for c, t in kinds.items()], "_score double"])))
     w = Window.partitionBy(*own).orderBy(F.desc("_score"), F.asc("_c"))
     top = found.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)

@@ -64,13 +64,7 @@ SELECT strategy, domain, resource_id, domain_name, domain_label, round(count(*)
 FROM probes JOIN enums USING (term) JOIN total USING (strategy, domain, resource_id) GROUP BY ALL""")
 def enum_containment(spark, d):
     """Share of each table's names in each enumeration, by the three ways to split names."""
-    cols, known = t.document_columns(spark, d), sets.enumerations(spark)
-    out = None
-    for strategy in sets.STRATEGIES:
-        probes = sets.probe_terms(cols, TABLE, "field_name", strategy)
-        part = sets.containment(probes, known, TABLE).withColumn("strategy", F.lit(strategy))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return sets.containment_by_strategy(t.document_columns(spark, d), sets.enumerations(spark), TABLE, "field_name")
 
 
 @query(c.with_(_ENUMS, c.DOC_COLS, """targets AS (SELECT domain, resource_id, count(*) AS n_cols FROM doc_cols GROUP BY domain, resource_id
