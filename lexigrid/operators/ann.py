@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by cells, for a corpus too large to compare in full.
 
-The corpus is dealt to the nearest of ``n_cells`` centres; a probe looks only into the
+The corpus is dealt to the nearest of ``n_cells`` centres (corpus vectors drawn by hash); a probe looks only into the
 cells whose centres are nearest to it, and scores there are exact.
 """
 
@@ -10,20 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.operators import similarity
-
-
-def centres(corpus: DataFrame, n_cells: int, vec: str = "vec") -> DataFrame:
-    """Centres: corpus vectors drawn by a hash of their values."""
-    drawn = corpus.where(F.col(vec).isNotNull()).select(vec, F.xxhash64(vec).alias("cell"))
-    return drawn.dropDuplicates(["cell"]).orderBy(F.md5(F.col("cell").cast("string")), "cell").limit(n_cells)
+from lexigrid.session import keep
 
 
 def cell_search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: str, corpus_key: str,
                 n_cells: int = 32, n_look: int = 8, vec: str = "vec") -> DataFrame:
     """Approximate ``k`` nearest: probe_key, corpus_key, score, rank."""
-    middle = centres(corpus, n_cells, vec)
-    placed = similarity.nearest(corpus.select(corpus_key, vec), middle, 1, [corpus_key], "cell", vec).drop("score", "rank")
-    looks = similarity.nearest(probes.select(probe_key, vec), middle, n_look, [probe_key], "cell", vec).drop("score", "rank")
+    corpus, probes = keep(corpus.select(corpus_key, vec)), keep(probes.select(probe_key, vec))
+    middle = similarity.draw_vectors(corpus, n_cells, vec).withColumnRenamed("_h", "cell")
+    placed = similarity.nearest(corpus, middle, 1, [corpus_key], "cell", vec).drop("score", "rank")
+    looks = similarity.nearest(probes, middle, n_look, [probe_key], "cell", vec).drop("score", "rank")
     found = similarity.cross_blocks(looks, placed, k, [probe_key, "cell"], corpus_key, [], ["cell"], vec, "score", "rank")
     w = Window.partitionBy(probe_key).orderBy(F.desc("score"), F.asc(corpus_key))
     return (found.select(probe_key, corpus_key, "score").withColumn("rank", F.row_number().over(w))

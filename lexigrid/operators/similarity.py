@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,9 +194,8 @@ def cross_blocks(probes, corpus, k, probe_key, corpus_key, extra, group, vec, sc
 
 
 def _ranks(keys: pa.Array) -> np.ndarray:
-    order = np.empty(len(keys), dtype=np.int64)
-    order[pa.compute.sort_indices(keys).to_numpy()] = np.arange(len(keys))
-    return order
+    """Place of each key in ascending order; equal keys share a place."""
+    return pa.compute.rank(keys, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
 
 
 def search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: str, corpus_key: str,
@@ -296,12 +296,22 @@ def _pair_tasks(df: DataFrame, key: str, vec: str, group: list[str], threshold:
     return small.unionByName(_cells(large, group, threshold, rows_per_block))
 
 
+def draw_vectors(df: DataFrame, n: int, vec: str = "vec") -> DataFrame:
+    """``n`` different vectors picked by a hash of their value: the same ones on every run.
+
+    Only hashes are shuffled to pick; the vectors picked are fetched afterwards.
+    Columns: ``vec`` and ``_h``, the hash.
+    """
+    hashed = df.where(F.col(vec).isNotNull()).select(F.col(vec), F.xxhash64(vec).alias("_h"))
+    picked = hashed.select("_h").distinct().orderBy(F.hash("_h"), "_h").limit(n)
+    # at most n rows, so the broadcast is bounded
+    return hashed.join(F.broadcast(picked), "_h").groupBy("_h").agg(F.min(vec).alias(vec))
+
+
 def _cells(rows: DataFrame, group: list[str], threshold: float | None, rows_per_block: int) -> DataFrame:
     spark = rows.sparkSession
     rows = rows.where(F.size("_vec") > 0)
-    # the pivots are rows picked by a hash of their vector: the same on every run
-    picked = rows.select("_vec", F.xxhash64("_vec").alias("_h")).dropDuplicates(["_h"]).orderBy("_h").limit(PIVOTS)
-    shared = spark.sparkContext.broadcast(matrix_of(picked.select("_vec").toArrow().column("_vec")))
+    shared = spark.sparkContext.broadcast(matrix_of(draw_vectors(rows, PIVOTS, "_vec").toArrow().column("_vec")))
 
     @F.arrow_udf("array<double>")
     def angles(vectors: pa.Array) -> pa.Array:

@@ -18,13 +18,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread_out(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a table that lies in fewer files than there are cores.
+    """Deal out the rows of a table that is read in fewer parts than there are cores.
 
-    Costly steps on a handful of files would keep most cores idle.  A table of many files
-    is read as it is.
+    Costly steps on a handful of parts would keep most cores idle.  A large table has more
+    parts than that and is read as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
