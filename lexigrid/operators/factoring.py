@@ -9,6 +9,7 @@ from lexigrid.functions.text import YEAR_TOKEN, replace_first
 from lexigrid.functions.vectors import mean_vector
 from lexigrid.operators import similarity
 from lexigrid.operators.components import similar_components
+from lexigrid.session import keep
 
 CHANGE = r"^_(\d{4})_(\d{4})_change_(.*)"
 YEARLY = r"^cy_(\d{4})_(.*)"
@@ -104,6 +105,7 @@ def unpivot_recipe(columns: DataFrame, table: list[str], name: str, taxonomy: Da
     nearest to the mean of its vectors; the columns outside every cluster stay as they are.
     Returns table, cluster_id, category, score, unpivot_recipe.
     """
+    columns = keep(columns.select(*table, name, vec))
     clusters = similar_components(columns, name, threshold, table, vec)
     placed = clusters.join(columns.select(*table, name, vec), [*table, name])
     centroids = mean_vector(placed, [*table, "cluster_id"], vec, "_centroid").withColumnRenamed("_centroid", vec)

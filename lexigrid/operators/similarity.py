@@ -49,28 +49,28 @@ def matrix_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
-def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.round(a @ b.T, DIGITS)
+# Rounding moves a score by at most half of this, so a screen that is looser by the whole
+# of it keeps everything that can pass once rounded; only what it keeps gets rounded.
+SLACK = 10.0 ** -DIGITS
 
 
-def _best(scores: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, score) of the k best per row; ties to the smaller ``order``.
+def _best(raw: np.ndarray, order: np.ndarray, k: int, floor: float = -2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the k best per row, scores rounded, at or over ``floor``.
 
-    ``order`` gives the rank of each column's key; entries at minus infinity are skipped.
+    Ties go to the smaller ``order``, the place of each column's key.
     """
-    by_key = np.argsort(order, kind="stable")
-    ranked = scores[:, by_key]
-    k = min(k, ranked.shape[1])
-    if k == 1:
-        # argmax takes the first of equals, which is the smallest key
-        top = ranked.argmax(axis=1)[:, None]
-    else:
-        top = np.argsort(-ranked, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(scores)), k)
-    cols = top.ravel()
-    vals = ranked[rows, cols]
-    ok = vals > -np.inf
-    return rows[ok], by_key[cols[ok]], vals[ok]
+    k = min(k, raw.shape[1])
+    if not raw.size:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    least = raw.max(axis=1) if k == 1 else np.partition(raw, raw.shape[1] - k, axis=1)[:, raw.shape[1] - k]
+    r, c = np.nonzero(raw >= np.maximum(least, floor)[:, None] - SLACK)
+    v = np.round(raw[r, c], DIGITS)
+    ok = v >= floor
+    r, c, v = r[ok], c[ok], v[ok]
+    first = np.lexsort((order[c], -v, r))
+    r, c, v = r[first], c[first], v[first]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    return r[place < k], c[place < k], v[place < k]
 
 
 # ---------------------------------------------------------------- one small side
@@ -134,7 +134,7 @@ def _stream_probes(probes, table, k, corpus_key, extra, group, vec, score, rank)
             for s in range(0, len(rows), ROWS_PER_BLOCK):
                 part = np.array(rows[s:s + ROWS_PER_BLOCK])
                 ours = matrix_of(vectors.take(pa.array(part)))
-                r, c, v = _best(_scores(ours, matrix), np.arange(len(matrix)), k)
+                r, c, v = _best(ours @ matrix.T, np.arange(len(matrix)), k)
                 slot = np.arange(len(r)) - np.searchsorted(r, r)
                 found[part[r], slot] = c + lo
                 value[part[r], slot] = v
@@ -174,7 +174,7 @@ def cross_blocks(probes, corpus, k, probe_key, corpus_key, extra, group, vec, sc
         if not len(keys) or not a.num_rows:
             r, c, v = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         else:
-            r, c, v = _best(_scores(matrix_of(a.column("_pv")), matrix_of(b.column("_cv"))), _ranks(keys), k)
+            r, c, v = _best(matrix_of(a.column("_pv")) @ matrix_of(b.column("_cv")).T, _ranks(keys), k)
         return pa.table({**{o: a.column(o).combine_chunks().take(pa.array(r)) for o in own},
                          "_c": keys.take(pa.array(c)), "_score": pa.array(v, pa.float64())})
 
@@ -229,7 +229,7 @@ def search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: str, corpus_
             keys = batch.column(0)
             if isinstance(keys, pa.ChunkedArray):
                 keys = keys.combine_chunks()
-            r, c, v = _best(_scores(matrix, matrix_of(batch.column(1))), _ranks(keys), k)
+            r, c, v = _best(matrix @ matrix_of(batch.column(1)).T, _ranks(keys), k)
             new_k = keys.take(pa.array(c))
             all_p, all_v = np.concatenate([held_p, r]), np.concatenate([held_v, v])
             all_k = new_k if held_k is None else pa.concat_arrays([held_k, new_k])
@@ -376,12 +376,13 @@ def _in_tasks(df: DataFrame, key: str, vec: str, group: list[str], threshold: fl
 
 
 def _above(a: np.ndarray, b: np.ndarray, same: bool, threshold: float, strict: bool):
-    scores = _scores(a, b)
-    hit = scores > threshold if strict else scores >= threshold
+    raw = a @ b.T
     if same:
-        hit &= np.triu(np.ones(hit.shape, dtype=bool), 1)
-    r, c = np.nonzero(hit)
-    return r, c, scores[r, c]
+        raw[np.tril_indices(len(raw))] = -np.inf
+    r, c = np.nonzero(raw >= threshold - SLACK)
+    v = np.round(raw[r, c], DIGITS)
+    ok = v > threshold if strict else v >= threshold
+    return r[ok], c[ok], v[ok]
 
 
 def _ordered(keys_a: pa.Array, r: np.ndarray, keys_b: pa.Array, c: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -433,20 +434,19 @@ def top_pairs(df: DataFrame, key: str, n: int, group: list[str] | None = None, v
     floor = -2.0 if above is None else above
 
     def inner(keys_a, a, keys_b, b, same):
-        scores = _scores(a, b)
-        hit = scores > floor
+        raw = a @ b.T
         if same:
-            hit &= np.triu(np.ones(hit.shape, dtype=bool), 1)
-        r, c = np.nonzero(hit)
-        v = scores[r, c]
-        if len(v) > n:
-            edge = np.partition(v, len(v) - n)[len(v) - n]
-            at = np.flatnonzero(v >= edge)
-            one, two = _ordered(keys_a, r[at], keys_b, c[at])
-            best = np.lexsort((_ranks(two), _ranks(one), -v[at]))[:n]
-            at = at[best]
-            r, c, v = r[at], c[at], v[at]
-        return [*_ordered(keys_a, r, keys_b, c), pa.array(v)]
+            raw[np.tril_indices(len(raw))] = -np.inf
+        least = floor
+        if raw.size > n:
+            least = max(floor, np.partition(raw, raw.size - n, axis=None)[raw.size - n])
+        r, c = np.nonzero(raw >= least - SLACK)
+        v = np.round(raw[r, c], DIGITS)
+        ok = v > floor
+        r, c, v = r[ok], c[ok], v[ok]
+        one, two = _ordered(keys_a, r, keys_b, c)
+        at = np.lexsort((_ranks(two), _ranks(one), -v))[:n]
+        return [one.take(pa.array(at)), two.take(pa.array(at)), pa.array(v[at])]
 
     found = _in_tasks(df, key, vec, group, above, rows_per_block, inner,
                       f"key_a {k_type}, key_b {k_type}, score double")
@@ -464,14 +464,13 @@ def best_neighbour(df: DataFrame, key: str, group: list[str] | None = None, vec:
     floor = -2.0 if at_least is None else at_least
 
     def inner(keys_a, a, keys_b, b, same):
-        scores = _scores(a, b)
+        raw = a @ b.T
         if same:
-            np.fill_diagonal(scores, -np.inf)
-        scores = np.where(scores >= floor, scores, -np.inf)
-        r, c, v = _best(scores, _ranks(keys_b), k)
+            np.fill_diagonal(raw, -np.inf)
+        r, c, v = _best(raw, _ranks(keys_b), k, floor)
         mine, other, val = [keys_a.take(pa.array(r))], [keys_b.take(pa.array(c))], [v]
         if not same:
-            r, c, v = _best(scores.T, _ranks(keys_a), k)
+            r, c, v = _best(raw.T, _ranks(keys_a), k, floor)
             mine.append(keys_b.take(pa.array(r)))
             other.append(keys_a.take(pa.array(c)))
             val.append(v)
