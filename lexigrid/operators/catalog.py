@@ -6,7 +6,7 @@ A catalog row is (domain, resource_id, field_name, data_type, ordinal_position),
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions.text import names
@@ -24,6 +24,12 @@ def current(df: DataFrame, tt_end: str = "tt_end") -> DataFrame:
     return df.where(F.col(tt_end).cast("string").startswith(OPEN_END))
 
 
+def listed_columns(spark: SparkSession, names_list: str) -> DataFrame:
+    """A comma list of column names as rows: field_name, ordinal_position."""
+    listed = spark.range(1).select(F.posexplode(F.split(F.lit(names_list), ",")).alias("_p", "_n"))
+    return listed.select(F.trim("_n").alias("field_name"), (F.col("_p") + 1).alias("ordinal_position"))
+
+
 def name_type(name: Column) -> Column:
     """Type of a column as far as its name shows."""
     return F.when(name.rlike("^[0-9]+$"), "Number").otherwise("Text")

@@ -160,7 +160,7 @@ def snapshot_drift(spark, d):
     """How far a user's mix of events moved from one week to the next."""
     events = t.table(spark, d, "events")
     kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(1000).collect()]
-    week = F.expr("cast(floor(unix_seconds(cast(ts as timestamp)) / 604800) as bigint)")
+    week = F.expr("cast(floor(unix_date(cast(ts as date)) / 7) as bigint)")
     snaps = events.groupBy("user_id", week.alias("week")).agg(
         F.array(*[F.count_if(F.col("event_type") == k).cast("double") for k in kinds]).alias("vec"))
     return catalog.drift(snaps, ["user_id"], "week")

@@ -21,6 +21,11 @@ def columns(spark):
     return catalog.current(df)
 
 
+def test_listed_columns(spark):
+    got = catalog.listed_columns(spark, "date, customer ,bananas").orderBy("ordinal_position").collect()
+    assert [tuple(r) for r in got] == [("date", 1), ("customer", 2), ("bananas", 3)]
+
+
 def test_closed_versions_are_dropped(columns):
     assert columns.where("field_name = 'old'").count() == 0
 

@@ -171,6 +171,14 @@ def test_mean_similarity_of_a_lone_row_is_null(spark):
     assert similarity.mean_similarity(df, ["id"], ["g"]).first().avg_sim is None
 
 
+def test_join_groups_spreads_a_large_side(spark, df, monkeypatch):
+    rows = df.select("id", "g")
+    per_group = rows.groupBy("g").agg(F.count("*").alias("n")).where("g <> 'g1'")
+    want = sorted(tuple(r) for r in rows.join(per_group, "g", "left").select("g", "id", "n").collect())
+    monkeypatch.setattr(similarity, "SMALL_SIDE_ROWS", 1)
+    assert sorted(tuple(r) for r in similarity.join_groups(rows, per_group, ["g"], "left").select("g", "id", "n").collect()) == want
+
+
 def test_cells_prune_what_cannot_match(df):
     wide = similarity._pair_tasks(df, "id", "vec", [], None, 16).count()
     tight = similarity._pair_tasks(df, "id", "vec", [], 0.97, 16).count()
