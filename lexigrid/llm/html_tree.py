@@ -38,12 +38,15 @@ INSIDE = set("article main content post entry story articlebody maincontent".spl
 KINDS = ["root", "around", "inside", "heading", "paragraph", "list", "table", "link", "inline", "block", "text"]
 TEXT_BINS = [25, 80, 200, 600]   # characters of a text node's block
 FEATURES = [*(f"kind:{k}" for k in KINDS), *(f"length:{k}" for k in range(len(TEXT_BINS) + 1)), "linked:0", "linked:1"]
-EDGES = ["opening", "other"]
+# to a node marked as the article; from a marked surrounding; from elsewhere to a marked surrounding; any other
+EDGES = ["opening", "enclosed", "leaving", "other"]
 # observations that count before any page is seen: (content, not content)
 PRIOR_SEEN = {"kind:around": (0.0, 200.0), "kind:inside": (200.0, 0.0)}
 SMOOTH = 4.0
-SMOOTH_MARKED = 1e-9     # what markup names plainly is believed, however many neighbours differ
-MOST_TEXT = 2.0          # log-odds that a text's length or links may give
+# what markup names plainly is believed, however many neighbours differ; surroundings more than the article
+SMOOTH_MARKED = {"kind:around": 1e-300, "kind:inside": 1e-20}
+UNMARKED_GAP = 1e-100    # observations, before any page, of an unmarked part of an article that is no content
+MOST_UNMARKED = 2.0      # log-odds that any other observation may give
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
                     r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|</?[A-Za-z][^>]*\Z|</[^>]*(?:>|\Z)", re.S)
@@ -216,22 +219,31 @@ class Potentials:
         kinds = seen[: len(KINDS)].sum(axis=0) + 1
         base = kinds[1] / kinds.sum()
         smooth = np.full(len(FEATURES), SMOOTH)
-        smooth[[FEATURES.index(n) for n in PRIOR_SEEN]] = SMOOTH_MARKED
+        marked = np.zeros(len(FEATURES), bool)
+        for name, value in SMOOTH_MARKED.items():
+            smooth[FEATURES.index(name)], marked[FEATURES.index(name)] = value, True
         total = seen.sum(axis=1) + smooth
         odds = np.log((seen[:, 1] + smooth * base) / total) - np.log((seen[:, 0] + smooth * (1 - base)) / total) - np.log(base / (1 - base))
-        unmarked = len(KINDS)
-        odds[unmarked:] = np.clip(odds[unmarked:], -MOST_TEXT, MOST_TEXT)
-        prior = np.array([[[2.0, 8.0], [0.1, 9.9]], [[99.0, 1.0], [1.0, 99.0]]])
+        odds = np.where(marked, odds, np.clip(odds, -MOST_UNMARKED, MOST_UNMARKED))
+        least = SMOOTH_MARKED["kind:around"]
+        prior = np.array([[[2.0, 8.0], [0.1, 9.9]], [[100.0, least], [1.0, 99.0]], [[100.0, 1.0], [100.0, 1.0]],
+                          [[99.0, 1.0], [UNMARKED_GAP, 100.0]]])  # [edge, parent state, child state]
         moves = moves + prior
         return cls(odds, np.log(moves / moves.sum(axis=2, keepdims=True)))
 
 
+def edges_of(parent: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Which table of EDGES joins each node to its parent."""
+    around = KINDS.index("around")
+    return np.select([kind[parent] == around, kind == around, kind == KINDS.index("inside")],
+                     [EDGES.index("enclosed"), EDGES.index("leaving"), EDGES.index("opening")], EDGES.index("other"))
+
+
 def marginals(parent: np.ndarray, depth: np.ndarray, seen: np.ndarray, potentials: Potentials) -> np.ndarray:
     """P(content) of every node of a forest by one pass of messages up and one down."""
     own = np.where(seen >= 0, potentials.odds[seen], 0.0).sum(axis=1)
     belief = np.stack([np.zeros(len(own)), own], axis=1)          # own evidence plus messages from below
-    edge = np.where(seen[:, 0] == KINDS.index("inside"), 0, 1)
-    tables = potentials.edges[edge]                               # [node, parent state, own state]
+    tables = potentials.edges[edges_of(np.maximum(parent, 0), seen[:, 0])]   # [node, parent state, own state]
     up = np.zeros_like(belief)
     levels = np.argsort(depth, kind="stable")
     bounds = np.searchsorted(depth[levels], np.arange(depth.max() + 2)) if len(depth) else [0]
@@ -262,7 +274,7 @@ def extract_all(pages: list[str | None], potentials: Potentials) -> list[str]:
     if not trees:
         return []
     starts = np.cumsum([0, *(len(t.parent) for t in trees)])
-    parent = np.concatenate([np.array(t.parent, np.int64) + s for t, s in zip(trees, starts)])
+    parent = np.concatenate([np.array(t.parent, np.int64) + s for t, s in zip(trees, starts)])  # of a root: not used
     p = marginals(parent, np.concatenate([np.array(t.depth) for t in trees]), np.concatenate([observe(t) for t in trees]), potentials)
     return [main_text(t, p[a:b] >= 0.5) for t, a, b in zip(trees, starts, starts[1:])]
 
@@ -273,8 +285,7 @@ def train(pages: DataFrame, key: str = "page_id", html: str = "html", most: int
     chosen = marked.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(most)
 
     def count(batches):
-        seen, moves = np.zeros((len(FEATURES), 2)), np.zeros((2, 2, 2))
-        inside = KINDS.index("inside")
+        seen, moves = np.zeros((len(FEATURES), 2)), np.zeros((len(EDGES), 2, 2))
         for batch in batches:
             for page in batch.column(0):
                 tree = parse(page.as_py() or "")
@@ -285,18 +296,18 @@ def train(pages: DataFrame, key: str = "page_id", html: str = "html", most: int
                 places = observe(tree)
                 for column in places.T:
                     np.add.at(seen, (column[column >= 0], states[column >= 0]), 1)
-                child = np.arange(1, len(states))
-                edge = np.where(places[1:, 0] == inside, 0, 1)
-                np.add.at(moves, (edge, states[np.array(tree.parent)[1:]], states[child]), 1)
+                parent = np.maximum(np.array(tree.parent), 0)
+                edge = edges_of(parent, places[:, 0])
+                np.add.at(moves, (edge[1:], states[parent[1:]], states[1:]), 1)
         flat = np.concatenate([seen.ravel(), moves.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], ["place", "n"])
 
     counts = (marked.join(F.broadcast(chosen), "k", "left_semi").select("h")  # ``most`` keys
               .mapInArrow(count, "place int, n double").groupBy("place").agg(F.sum("n").alias("n")).collect())  # a fixed few dozen
-    flat = np.zeros(len(FEATURES) * 2 + 8)
+    flat = np.zeros(len(FEATURES) * 2 + len(EDGES) * 4)
     for r in counts:
         flat[r["place"]] = r["n"]
-    return Potentials.from_counts(flat[: len(FEATURES) * 2].reshape(-1, 2), flat[len(FEATURES) * 2 :].reshape(2, 2, 2))
+    return Potentials.from_counts(flat[: len(FEATURES) * 2].reshape(-1, 2), flat[len(FEATURES) * 2 :].reshape(-1, 2, 2))
 
 
 def extractor(potentials: Potentials):
