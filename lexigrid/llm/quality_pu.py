@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_POSITIVES = 20_000    # bounds of the training sample, drawn by a hash of the key
 MAX_UNLABELLED = 40_000
@@ -53,7 +54,7 @@ def features_of(text: str | None) -> np.ndarray:
     return out
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _features(texts: pa.Array) -> pa.Array:
     flat = np.concatenate([features_of(t.as_py()) for t in texts]) if len(texts) else np.zeros(0)
     ends = np.arange(0, len(flat) + 1, N_FEATURES, dtype=np.int32)

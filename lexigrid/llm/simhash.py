@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrid.llm.common import free_name
 from lexigrid.operators.components import connected_components
@@ -45,7 +46,7 @@ def fingerprint_of(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(T.LongType())
 def _fingerprint(texts: pa.Array) -> pa.Array:
     values = np.fromiter((fingerprint_of(t.as_py()) for t in texts), np.uint64, len(texts))
     return pa.array(values.view(np.int64))
