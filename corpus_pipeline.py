@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lexigrid.llm import bpe, language_id, mixing, quality_rules, simhash
+from lexigrid.llm.common import shared_folder
 from lexigrid.llm.queries import TOKENIZER
 
 
@@ -41,16 +40,10 @@ STAGES = [("language ID", language_stage), ("quality rules", rule_stage), ("near
 ORACLE_SQL = None
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder of this run under the shared checkpoint folder, where any executor can read what another wrote."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the documents; each stage is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = _scratch(spark)
+    folder = shared_folder(spark, "corpus-pipeline")
     for k, (_, stage) in enumerate(STAGES):
         step = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(step)

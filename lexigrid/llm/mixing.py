@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import free_name, lookup, words
+from lexigrid.llm.common import free_name, lookup, stored, words
 from lexigrid.session import cut_lineage
 
 # topics by the first pattern that a text shows; texts without any are of the last topic
@@ -25,7 +25,7 @@ MARGINS = ("source", "lang", "topic")
 # a target share grows as the present share to this power: 1 keeps the share, 0 makes all equal
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 FRACTION = 0.5   # of all tokens that the sample is to have
-ROUNDS = 8
+ROUNDS = 6
 SEED = "mix"
 _DIGITS = 9
 
@@ -58,7 +58,7 @@ def tempered_targets(cells: DataFrame, temper: dict[str, float], fraction: float
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     out = {}
     for margin, power in temper.items():
-        lifted = cut_lineage(cells.groupBy(margin).agg(F.pow(F.sum("tokens") / total, F.lit(power)).alias("_lift")))
+        lifted = stored(cells.groupBy(margin).agg(F.pow(F.sum("tokens") / total, F.lit(power)).alias("_lift")))
         whole = lifted.agg(F.sum("_lift")).first()[0] or 1.0
         out[margin] = lifted.select(margin, (F.col("_lift") / whole * total * fraction).alias("target"))
     return out
@@ -68,7 +68,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     """The cells with their fitted ``weight``, at most their tokens.
 
     ``targets`` has (margin, target) for each margin; a value without a target gets weight 0.  Every step is written
-    to the checkpoint folder.  Margins agree with their targets as far as the tokens at hand allow.
+    to the shared folder.  Margins agree with their targets as far as the tokens at hand allow.
     """
     out = cells.withColumn("weight", F.col("tokens"))
     steps = [*targets.items()]
@@ -80,14 +80,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
         out = out.join(scale, margin).withColumn("weight", F.col("weight") * F.col("_scale")).drop("_scale")
         if (k + 1) % len(steps) == 0:
             out = out.withColumn("weight", F.least("weight", "tokens"))
-        out = cut_lineage(out)  # each step reads its predecessor twice
+        out = stored(out, "raked")  # each step reads its predecessor twice
     return out
 
 
 def probabilities(cells: DataFrame, temper: dict[str, float] | None = None, fraction: float = FRACTION,
                   rounds: int = ROUNDS) -> DataFrame:
     """Per cell its margin values and the probability of its documents."""
-    cells = cut_lineage(cells)
+    cells = stored(cells, "cells")
     fitted = rake(cells, tempered_targets(cells, temper or TEMPER, fraction), rounds)
     return fitted.select(*MARGINS, F.round(F.col("weight") / F.col("tokens"), _DIGITS).alias("probability"))
 
