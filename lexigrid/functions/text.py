@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 BLANKS = r"[ \t\n\r\f]+"
 NON_WORD = r"[^\p{L}\p{N}_]+"
+# a year standing alone between underscores: fixed value
 YEAR_TOKEN = r"(?:^|_)((?:19|20)\d{2})(?:_|$)"
 
 

@@ -1,26 +1,38 @@
 """Approximate nearest neighbours by cells, for a corpus too large to compare in full.
 
-The corpus is dealt to the nearest of ``n_cells`` centres (corpus vectors drawn by hash); a probe looks only into the
-cells whose centres are nearest to it, and scores there are exact.
+The corpus is dealt to the nearest of about sqrt(n) centres (rows drawn by the MD5 of their key); a probe looks only into
+the few cells whose centres are nearest to it, and scores there are exact.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.operators import similarity
-from lexigrid.session import keep
+from lexigrid.session import cut_lineage
+
+N_LOOK = 8
 
 
 def cell_search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: str, corpus_key: str,
-                n_cells: int = 32, n_look: int = 8, vec: str = "vec") -> DataFrame:
-    """Approximate ``k`` nearest: probe_key, corpus_key, score, rank."""
-    corpus, probes = keep(corpus.select(corpus_key, vec)), keep(probes.select(probe_key, vec))
-    middle = similarity.draw_vectors(corpus, n_cells, vec).withColumnRenamed("_h", "cell")
+                n_cells: int | None = None, n_look: int = N_LOOK, vec: str = "vec", same_keys: bool = False) -> DataFrame:
+    """Approximate ``k`` nearest: probe_key, corpus_key, score, rank.
+
+    With ``same_keys`` both sides are rows of one table, and a probe is not its own neighbour.
+    """
+    corpus = cut_lineage(corpus.select(corpus_key, vec).where(F.col(vec).isNotNull()))
+    probes = probes.select(probe_key, vec)
+    cells = n_cells or max(1, math.ceil(math.sqrt(corpus.count())))
+    drawn = F.md5(F.col(corpus_key).cast("string"))
+    middle = cut_lineage(corpus.orderBy(drawn, corpus_key).limit(cells).select(F.col(corpus_key).alias("cell"), vec))
     placed = similarity.nearest(corpus, middle, 1, [corpus_key], "cell", vec).drop("score", "rank")
     looks = similarity.nearest(probes, middle, n_look, [probe_key], "cell", vec).drop("score", "rank")
-    found = similarity.cross_blocks(looks, placed, k, [probe_key, "cell"], corpus_key, [], ["cell"], vec, "score", "rank")
+    found = similarity.cross_blocks(looks, placed, k + same_keys, [probe_key], corpus_key, [], ["cell"], vec, "score", "rank")
+    if same_keys:
+        found = found.where(F.col(probe_key) != F.col(corpus_key))
     w = Window.partitionBy(probe_key).orderBy(F.desc("score"), F.asc(corpus_key))
     return (found.select(probe_key, corpus_key, "score").withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k))

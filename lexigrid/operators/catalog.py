@@ -6,17 +6,17 @@ A catalog row is (domain, resource_id, field_name, data_type, ordinal_position),
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions.text import names
-from lexigrid.functions.vectors import cosine_sim, dot_product, mean_vector, unit
+from lexigrid.functions.vectors import dot_product, mean_vector, unit
 from lexigrid.operators.ranking import draw, joined_list, top_per_group
 from lexigrid.operators.similarity import join_groups
 from lexigrid.session import keep
 
 TABLE = ["domain", "resource_id"]
-OPEN_END = "9999-12-31"
+OPEN_END = "9999-12-31"  # fixed value
 
 
 def current(df: DataFrame, tt_end: str = "tt_end") -> DataFrame:
@@ -24,6 +24,12 @@ def current(df: DataFrame, tt_end: str = "tt_end") -> DataFrame:
     return df.where(F.col(tt_end).cast("string").startswith(OPEN_END))
 
 
+def of_top_groups(df: DataFrame, group: list[str], n: int) -> DataFrame:
+    """The rows of the ``n`` groups with the most rows; ties go to the smaller group."""
+    top = df.groupBy(*group).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), *group).limit(n).select(*group)
+    return df.join(F.broadcast(top), group, "left_semi")  # n rows
+
+
 def listed_columns(spark: SparkSession, names_list: str) -> DataFrame:
     """A comma list of column names as rows: field_name, ordinal_position."""
     listed = spark.range(1).select(F.posexplode(F.split(F.lit(names_list), ",")).alias("_p", "_n"))
@@ -110,11 +116,12 @@ def taxonomy_text(category: Column, gloss: Column) -> Column:
 def path_texts(paths: DataFrame, levels: list[str], content: str) -> DataFrame:
     """One text per node of a path hierarchy: (level, path, text).
 
-    A node's text is its dotted path; a node of the lowest level adds its ``content``.
+    A node's text is its dotted path; a node of the lowest level adds its ``content``.  A NULL
+    name is an empty step, so that what is below stays where it is.
     """
     out = None
     for i in range(1, len(levels) + 1):
-        path = F.concat_ws(".", *[F.col(c).cast("string") for c in levels[:i]])
+        path = F.concat_ws(".", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in levels[:i]])
         text = path if i < len(levels) else F.concat(path, F.lit(": "), F.col(content))
         nodes = paths.select(F.lit(levels[i - 1]).alias("level"), path.alias("path"), text.alias("text"))
         nodes = nodes.distinct() if i < len(levels) else nodes
@@ -122,12 +129,20 @@ def path_texts(paths: DataFrame, levels: list[str], content: str) -> DataFrame:
     return out
 
 
-def drift(snapshots: DataFrame, key: list[str], snapshot: str, vec: str = "vec") -> DataFrame:
-    """Similarity of each key's vector to its vector one snapshot before."""
-    now = snapshots.select(*key, snapshot, F.col(vec).alias("_now"))
-    before = snapshots.select(*key, (F.col(snapshot) + 1).alias(snapshot), F.col(vec).alias("_before"))
-    return now.join(before, [*key, snapshot]).select(
-        *key, snapshot, F.round(cosine_sim(F.col("_now"), F.col("_before")), 6).alias("sim"))
+def drift(counts: DataFrame, key: list[str], snapshot: str, item: str, n: str) -> DataFrame:
+    """Cosine of each key's counts per item to those of its previous snapshot, however long ago that was.
+
+    ``counts`` holds (key, snapshot, item, n).  A key's first snapshot has no row.  Returns key, snapshot, sim.
+    """
+    norms = counts.groupBy(*key, snapshot).agg(F.sqrt(F.sum(F.col(n) * F.col(n))).alias("_norm"))
+    by_time = Window.partitionBy(*key).orderBy(snapshot)
+    steps = norms.select(*key, snapshot, "_norm", F.lag(snapshot).over(by_time).alias("_before"),
+                         F.lag("_norm").over(by_time).alias("_norm_before")).where(F.col("_before").isNotNull())
+    then = counts.select(*key, F.col(snapshot).alias("_before"), item, F.col(n).alias("_then"))
+    shared = F.sum(F.col(n) * F.coalesce("_then", F.lit(0)))
+    dots = (counts.join(steps, [*key, snapshot]).join(then, [*key, "_before", item], "left")
+            .groupBy(*key, snapshot, "_norm", "_norm_before").agg(shared.alias("_dot")))
+    return dots.select(*key, snapshot, F.round(F.col("_dot") / (F.col("_norm") * F.col("_norm_before")), 6).alias("sim"))
 
 
 def topic_overlap(topics: DataFrame, table: str, topic: str, min_ratio: float) -> DataFrame:

@@ -9,19 +9,20 @@ from lexigrid.operators import similarity
 from lexigrid.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of an undirected edge list; the smallest node names its component.
 
     Each round takes the smallest label among neighbours, then follows that label's own
     label, so long chains shorten by halves.  Every round is written to the checkpoint
-    folder; the loop ends when a round changes nothing.
+    folder; the loop ends when a round changes nothing.  Nodes may be of any type that can be
+    ordered, structs too.
     """
     one_way = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
     both = one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = cut_lineage(both.where(F.col("src") != F.col("dst")).distinct())
     labels = cut_lineage(both.groupBy("src").agg(F.min("dst").alias("_m"))
                          .select(F.col("src").alias("node"), F.least("src", "_m").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         heard = (both.join(labels, both["dst"] == labels["node"]).groupBy("src")
                  .agg(F.min("component").alias("_heard")).withColumnRenamed("src", "node"))
         lower = labels.join(heard, "node").select(
@@ -32,10 +33,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         labels = moved.select("node", "component")
         if moved.where(F.col("_was") != F.col("component")).limit(1).count() == 0:
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-SEP = "\u0001"
 
 
 def similar_components(df: DataFrame, key: str, threshold: float, group: list[str] | None = None,
@@ -46,18 +43,10 @@ def similar_components(df: DataFrame, key: str, threshold: float, group: list[st
     """
     group = group or []
     found = similarity.links(df, key, threshold, group, vec)
-    if not group:
-        comps = connected_components(found)
-        return comps.select(F.col("node").alias(key), F.col("component").alias("cluster_id"))
-    prefix = [F.col(g).cast("string") for g in group]
-    edges = found.select(F.concat_ws(SEP, *prefix, F.col("a")).alias("a"), F.concat_ws(SEP, *prefix, F.col("b")).alias("b"))
-    comps = connected_components(edges)
-    parts = F.split("node", SEP)
-    kinds = {g: df.schema[g].dataType for g in group}
-    return comps.select(
-        *[parts[i].cast(kinds[g]).alias(g) for i, g in enumerate(group)],
-        parts[len(group)].cast(df.schema[key].dataType).alias(key),
-        F.split("component", SEP)[len(group)].cast(df.schema[key].dataType).alias("cluster_id"))
+    node = lambda end: F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)], F.col(end).alias("k"))
+    comps = connected_components(found.select(node("a").alias("a"), node("b").alias("b")))
+    return comps.select(*[F.col(f"node.g{i}").alias(g) for i, g in enumerate(group)],
+                        F.col("node.k").alias(key), F.col("component.k").alias("cluster_id"))
 
 
 def star_clusters(df: DataFrame, key: str, threshold: float, group: list[str] | None = None,

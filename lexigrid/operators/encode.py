@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions.text import normalize_term, text_normalizer, words
+from lexigrid.session import cut_lineage
 
 CHARS_PER_CHUNK = 2_000_000
 
@@ -197,30 +198,77 @@ def text_windows(df: DataFrame, key: list[str], text: str, n_ctx: int) -> DataFr
                          F.array_join(window, " ").alias("window_text"))
 
 
-def pack_texts(df: DataFrame, shard: list[str], order: str, tokens: str, budget: int,
-               batch_span: int = 256) -> DataFrame:
-    """Fill bins of at most ``budget`` tokens with texts in order; an oversize text goes alone.
+def pack_texts(df: DataFrame, shard: list[str], order: str, tokens: str, budget: int) -> DataFrame:
+    """Fill bins of at most ``budget`` tokens with each shard's texts in order; an oversize text goes alone.
 
-    A batch is one shard's texts whose ``order`` (an integer, unique in the shard) lies in
-    the same span of ``batch_span``; that bounds a batch whatever the size of its shard.
-    Adds ``batch_no`` and ``bin_no`` (from 0 in each batch).
+    Returns shard, order, tokens and ``bin_no`` (from 0 in each shard).  ``order`` is unique in a shard.
+
+    Filling is sequential, but what a stretch of texts does depends only on how full the open bin is at its
+    start, and only the texts before its first new bin depend on that.  So every stretch is summed up alone: for
+    each text that may open its first new bin, how many bins follow and how full the last one ends.  A scan over
+    the summaries, one short row per stretch, hands each stretch its entry, and the stretches are filled at once.
     """
-    keys = [*shard, "batch_no"]
-    rows = df.withColumn("batch_no", F.expr(f"cast(floor({order} / {batch_span}) as bigint)"))
-    texts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("n"))))
-    batches = rows.groupBy(*keys).agg(texts.alias("_texts"))
-    empty = F.expr("named_struct('bin', -1L, 'used', 0L, 'out', cast(array() as array<bigint>))")
-
-    def step(acc: Column, t: Column) -> Column:
-        opens = (acc["bin"] < 0) | (acc["used"] + t["n"] > F.lit(budget))
-        bin_no = F.when(opens, acc["bin"] + 1).otherwise(acc["bin"])
-        used = F.when(opens, t["n"]).otherwise(acc["used"] + t["n"])
-        return F.struct(bin_no.alias("bin"), used.alias("used"), F.array_append(acc["out"], bin_no).alias("out"))
-
-    bins = batches.withColumn("_bins", F.aggregate("_texts", empty, step, lambda a: a["out"]))
-    flat = bins.select(*keys, F.explode(F.arrays_zip("_texts", "_bins")).alias("_z"))
-    return flat.select(*keys, F.col("_z._texts.o").alias(order), F.col("_z._texts.n").alias(tokens),
-                       F.col("_z._bins").alias("bin_no"))
+    rows = df.select(*shard, F.col(order).alias("_o"), F.col(tokens).cast("long").alias("_n"))
+    ranged = rows.repartitionByRange(*[F.col(c) for c in [*shard, "_o"]])
+    placed = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
+    kinds = {c: placed.schema[c].dataType.simpleString() for c in [*shard, "_o"]}
+    head = "".join(f"`{c}` {kinds[c]}, " for c in shard)
+
+    def lead(t: pa.Table, n: int) -> dict[str, pa.Array]:
+        return {c: t.column(c).combine_chunks().take(pa.array(np.zeros(n, np.int64))) for c in shard}
+
+    def sums(t: pa.Table) -> np.ndarray:
+        return np.cumsum(t.sort_by("_o").column("_n").to_numpy())
+
+    def following(ends: np.ndarray) -> np.ndarray:
+        """For a bin that begins with each text, the text that opens the next one."""
+        before = np.concatenate([[0], ends[:-1]])
+        return np.maximum(np.searchsorted(ends, before + budget, "right"), np.arange(len(ends)) + 1)
+
+    def summary(t: pa.Table) -> pa.Table:
+        ends = sums(t)
+        nxt, m = following(ends), len(ends)
+        opened, fill = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+        for j in range(m - 1, -1, -1):
+            k = nxt[j]
+            opened[j] = 1 + opened[k]
+            fill[j] = fill[k] if k < m else ends[-1] - (ends[j - 1] if j else 0)
+        first = min(int(np.searchsorted(ends, budget, "right")) + 1, m)  # texts that may open the first new bin
+        listed = lambda x: pa.array([x[:first].tolist()], pa.list_(pa.int64()))
+        return pa.table({**lead(t, 1), "_part": t.column("_part").combine_chunks().slice(0, 1), "_ends": listed(ends),
+                         "_opened": listed(opened), "_fill": listed(fill), "_all": pa.array([int(ends[-1])])})
+
+    def entries(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_part")
+        used, bins, at = None, 0, []
+        for ends, opened, fill, whole in zip(*(t.column(c).to_pylist() for c in ("_ends", "_opened", "_fill", "_all"))):
+            at.append((used, bins))
+            j = 0 if used is None else int(np.searchsorted(ends, budget - used, "right"))
+            if j < len(ends):
+                bins, used = bins + opened[j], fill[j]
+            else:
+                used += whole
+        return pa.table({**lead(t, len(at)), "_part": t.column("_part"), "_used": pa.array([u for u, _ in at], pa.int64()),
+                         "_bins": pa.array([b for _, b in at], pa.int64())})
+
+    def fill_bins(t: pa.Table, entry: pa.Table) -> pa.Table:
+        t = t.sort_by("_o")
+        ends = sums(t)
+        nxt, used = following(ends), entry.column("_used")[0].as_py()
+        cuts, j = [], 0 if used is None else int(np.searchsorted(ends, budget - used, "right"))
+        while j < len(ends):
+            cuts.append(j)
+            j = int(nxt[j])
+        bin_no = entry.column("_bins")[0].as_py() - 1 + np.searchsorted(cuts, np.arange(len(ends)), "right")
+        return pa.table({**{c: t.column(c) for c in shard}, order: t.column("_o"), tokens: t.column("_n"), "bin_no": pa.array(bin_no, pa.int64())})
+
+    keys = [*shard, "_part"]
+    short = placed.groupBy(*keys).applyInArrow(
+        summary, f"{head}_part int, _ends array<long>, _opened array<long>, _fill array<long>, _all long")
+    # without shard columns all summaries make one group: a row for each partition
+    entry = short.withColumn("_one", F.lit(0)).groupBy(*(shard or ["_one"])).applyInArrow(entries, f"{head}_part int, _used long, _bins long")
+    return placed.groupBy(*keys).cogroup(entry.groupBy(*keys)).applyInArrow(
+        fill_bins, f"{head}`{order}` {kinds['_o']}, `{tokens}` long, bin_no long")
 
 
 def register(spark: SparkSession, encoders: dict[str, Encoder] | None = None) -> None:

@@ -11,6 +11,7 @@ from lexigrid.operators import similarity
 from lexigrid.operators.components import similar_components
 from lexigrid.session import keep
 
+# the two shapes of yearly names: fixed values
 CHANGE = r"^_(\d{4})_(\d{4})_change_(.*)"
 YEARLY = r"^cy_(\d{4})_(.*)"
 

@@ -11,14 +11,14 @@ from lexigrid.operators.ranking import joined_list, top_per_group
 
 
 def role(avg_sim: Column, below: float = 0.55) -> Column:
-    """A column unlike its neighbours is a dimension, otherwise it may be a measure."""
-    return F.when(avg_sim < below, "dimension").otherwise("measure_candidate")
+    """A column unlike its neighbours is a dimension, otherwise it may be a measure; NULL without neighbours."""
+    return F.when(avg_sim < below, "dimension").when(avg_sim >= below, "measure_candidate")
 
 
 def classify_roles(columns: DataFrame, name: str, group: list[str], vec: str = "vec", below: float = 0.55) -> DataFrame:
-    """Adds ``avg_sim`` and ``role``; columns alone in their table are left out."""
+    """Adds ``avg_sim`` and ``role``; both are NULL for a column alone in its table."""
     scored = similarity.mean_similarity(columns, [name], group, vec)
-    return scored.where(F.col("avg_sim").isNotNull()).withColumn("role", role(F.col("avg_sim"), below))
+    return scored.withColumn("role", role(F.col("avg_sim"), below))
 
 
 def role_summary(classified: DataFrame, group: list[str]) -> DataFrame:
@@ -59,7 +59,7 @@ def table_profile(topics: DataFrame, group: list[str] | None = None, min_score:
         F.count_if(F.col("role") == "dimension").alias("n_dim"),
         F.count_if(F.col("role") == "measure_candidate").alias("n_meas"),
         *[F.count_if(F.col("medium_type") == k).alias(c) for c, k in kinds.items()])
-    used = topics.where(F.col("topic_score") > min_score).groupBy(*group, "role", "topic").agg(F.count("*").alias("_n"))
+    used = topics.where((F.col("topic_score") > min_score) & F.col("role").isNotNull()).groupBy(*group, "role", "topic").agg(F.count("*").alias("_n"))
     top = top_per_group(used, [*group, "role"], [F.desc("_n"), F.asc("topic")], n)
     lists = top.groupBy(*group).agg(
         joined_list(F.when(F.col("role") == "dimension", F.col("topic")), [F.col("topic")]).alias("dim_topics"),

@@ -33,12 +33,6 @@ def sample_rows(df: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFra
     return df.orderBy(draw(key, seed), *key).limit(n)
 
 
-def first_by(df: DataFrame, group: list[str], order: list[str], keep_cols: list[str]) -> DataFrame:
-    """One row per group, the smallest by ``order`` (ascending): a minimum, so it needs no sort."""
-    best = F.min(F.struct(*order, *[c for c in keep_cols if c not in order])).alias("_b")
-    return df.groupBy(*group).agg(best).select(*group, *[F.col(f"_b.{c}").alias(c) for c in keep_cols])
-
-
 def joined_list(value: Column, order: list[Column], sep: str = ", ") -> Column:
     """Aggregate: the values of a group, ordered and joined (NULLs left out)."""
     cells = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(

@@ -151,26 +151,29 @@ def unrecognised(columns: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- compact stored form
 
-BITS = 20
+# A term is stored as 15 hex digits of its MD5: 60 bits, so that sets of any size keep their counts.
+HASH_DIGITS = 15
+BUCKET_DIGITS = 2
 
 
-def slot(term: Column, bits: int = BITS) -> Column:
-    """Position (from 1) of a term in a filter of 2**bits bits."""
-    return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % F.lit(1 << bits) + 1
+def position(term: Column) -> Column:
+    """A term's place among 2**60."""
+    return F.conv(F.substring(F.md5(term), 1, HASH_DIGITS), 16, 10).cast("long")
 
 
-def bitmap_store(sets: DataFrame, domain: str = "domain_name", bits: int = BITS) -> DataFrame:
-    """(domain, bucket, bitmap_b64, n_bits): one row per 32,768 bits that are not all zero."""
-    placed = sets.select(domain, slot(F.col("term"), bits).alias("_s"))
-    rows = placed.select(domain, F.bitmap_bucket_number("_s").alias("bucket"), F.bitmap_bit_position("_s").alias("_p"))
-    maps = rows.groupBy(domain, "bucket").agg(F.bitmap_construct_agg("_p").alias("_m"))
-    return maps.select(domain, "bucket", F.base64("_m").alias("bitmap_b64"), F.bitmap_count("_m").alias("n_bits"))
+def packed_store(sets: DataFrame, domain: str = "domain_name") -> DataFrame:
+    """(domain, bucket, positions, n_members): sets as sorted positions, in 256 buckets by the first digits.
+
+    Eight bytes a member; two sets are compared bucket by bucket.  A bucket's list is a 256th of one set.
+    """
+    placed = sets.select(domain, position(F.col("term")).alias("_p")).distinct()
+    bucket = F.shiftright("_p", 4 * (HASH_DIGITS - BUCKET_DIGITS)).cast("int")
+    return placed.groupBy(domain, bucket.alias("bucket")).agg(F.sort_array(F.collect_list("_p")).alias("positions")) \
+        .withColumn("n_members", F.size("positions").cast("long"))
 
 
-def bitmap_overlap(probes: DataFrame, stored: DataFrame, probe: str, domain: str = "domain_name") -> DataFrame:
-    """Bits that a probe's filter shares with each stored filter: probe, domain, n_shared."""
-    a = probes.select(F.col(probe), "bucket", F.unbase64("bitmap_b64").alias("_a"))
-    b = stored.select(F.col(domain), "bucket", F.unbase64("bitmap_b64").alias("_b"))
-    both = a.join(b, "bucket").select(probe, domain, "bucket", F.explode(F.array("_a", "_b")).alias("_m"))
-    shared = both.groupBy(probe, domain, "bucket").agg(F.bitmap_count(F.bitmap_and_agg("_m")).alias("n"))
-    return shared.groupBy(probe, domain).agg(F.sum("n").alias("n_shared")).where(F.col("n_shared") > 0)
+def packed_overlap(probes: DataFrame, stored: DataFrame, probe: str, domain: str = "domain_name") -> DataFrame:
+    """Members that a probe's stored set shares with each stored set: probe, domain, n_shared."""
+    a = probes.select(F.col(probe), "bucket", F.explode("positions").alias("_p"))
+    b = stored.select(F.col(domain), "bucket", F.explode("positions").alias("_p"))
+    return a.join(b, ["bucket", "_p"]).groupBy(probe, domain).agg(F.count("*").alias("n_shared"))

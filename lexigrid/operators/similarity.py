@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions.vectors import dot_product, mean_vector, unit
 from lexigrid.operators.encode import once
-from lexigrid.session import SMALL_SIDE_ROWS, fits, keep
+from lexigrid.session import cut_lineage, fits, keep
 
 DIGITS = 6
 ROWS_PER_BLOCK = 2048
@@ -42,7 +42,8 @@ def matrix_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if n == 0:
         return np.zeros((0, 0))
-    if len(flat) % n or (n and len(flat) // n * n != len(flat)):
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if (lengths != lengths[0]).any():
         raise ValueError("vectors of one column must have one length")
     rows = flat.reshape(n, -1)
     length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
@@ -77,12 +78,14 @@ def _best(raw: np.ndarray, order: np.ndarray, k: int, floor: float = -2.0) -> tu
 
 
 def _collect_matrix(df: DataFrame, vec: str) -> pa.Table | None:
-    """The rows of ``df`` if their number and matrix are within bounds, else None."""
-    table = df.limit(SMALL_MATRIX_ROWS + 1).toArrow()
-    if table.num_rows > SMALL_MATRIX_ROWS:
-        return None
-    cells = sum(len(c.flatten()) for c in table.column(vec).chunks)
-    return table if cells <= SMALL_MATRIX_CELLS else None
+    """The rows of ``df`` if their number and matrix are within bounds, else None.
+
+    The first row's vector tells how many rows are within the bound of cells, so no more are collected.
+    """
+    first = df.select(F.size(vec).alias("w")).first()
+    most = SMALL_MATRIX_ROWS if first is None else min(SMALL_MATRIX_ROWS, SMALL_MATRIX_CELLS // max(first["w"], 1))
+    table = df.limit(most + 1).toArrow()
+    return table if table.num_rows <= most else None
 
 
 def nearest(probes: DataFrame, corpus: DataFrame, k: int, probe_key: list[str], corpus_key: str,
@@ -90,9 +93,11 @@ def nearest(probes: DataFrame, corpus: DataFrame, k: int, probe_key: list[str],
             corpus_cols: list[str] | None = None, group: list[str] | None = None) -> DataFrame:
     """The ``k`` corpus rows most similar to each probe row.
 
-    Probe columns, then ``corpus_key`` and ``corpus_cols``, the score and the rank.  Keys
-    break ties.  With ``group``, a probe sees only corpus rows of its own group (columns of
-    the same names on both sides).
+    Probe columns, then ``corpus_key`` and ``corpus_cols``, the score and the rank.  Ties go to
+    the smaller key, then to the smaller other columns.  With ``group``, a probe sees only corpus
+    rows of its own group (columns of the same names on both sides); NULL groups see nothing.
+    Rows with one key, or with a NULL key, are rows of their own on both sides.  The size of the
+    corpus decides how the work is laid out, never what comes out.
     """
     extra = corpus_cols or []
     group = group or []
@@ -107,7 +112,7 @@ def nearest(probes: DataFrame, corpus: DataFrame, k: int, probe_key: list[str],
 
 def _stream_probes(probes, table, k, corpus_key, extra, group, vec, score, rank) -> DataFrame:
     spark = probes.sparkSession
-    table = table.sort_by([(c, "ascending") for c in [*group, corpus_key]])
+    table = table.sort_by([(c, "ascending") for c in [*group, corpus_key, *extra]])
     attrs = table.select([corpus_key, *extra])
     keys = list(zip(*[table.column(c).to_pylist() for c in group])) if group else [()] * table.num_rows
     spans: dict[tuple, list[int]] = {}
@@ -128,7 +133,7 @@ def _stream_probes(probes, table, k, corpus_key, extra, group, vec, score, rank)
         elif len(vectors):
             rows_of[()] = list(range(len(vectors)))
         for key, rows in rows_of.items():
-            if key not in shared.value:
+            if key not in shared.value or None in key:
                 continue
             lo, matrix = shared.value[key]
             for s in range(0, len(rows), ROWS_PER_BLOCK):
@@ -154,43 +159,43 @@ def _stream_probes(probes, table, k, corpus_key, extra, group, vec, score, rank)
 
 
 def cross_blocks(probes, corpus, k, probe_key, corpus_key, extra, group, vec, score, rank) -> DataFrame:
-    """Blocks of probes against blocks of the corpus; each task keeps k per probe."""
+    """Blocks of probes against blocks of the corpus; each task keeps k per probe.
+
+    Both sides get row ids of their own, so keys need not be unique; corpus ids follow the order in
+    which ties are settled.
+    """
     cols = probes.columns
-    probes, corpus = keep(probes), keep(corpus)
-    own = [f"_p{i}" for i in range(len(probe_key))]
-    probe_blocks = probes.select(*group, *[F.col(c).alias(o) for c, o in zip(probe_key, own)], F.col(vec).alias("_pv"))
-    corpus_blocks = corpus.select(*group, F.col(corpus_key).alias("_c"), F.col(vec).alias("_cv"))
+    probes = cut_lineage(probes.withColumn("_p", F.monotonically_increasing_id()))
+    by_key = [F.col(c).asc_nulls_last() for c in [*group, corpus_key, *extra]]
+    corpus = cut_lineage(corpus.select(*group, corpus_key, *extra, vec).orderBy(*by_key).withColumn("_c", F.monotonically_increasing_id()))
+    probe_blocks = probes.select(*group, "_p", F.col(vec).alias("_pv"))
+    corpus_blocks = corpus.select(*group, "_c", F.col(vec).alias("_cv"))
     n_p, n_c = _block_counts(probe_blocks, group), _block_counts(corpus_blocks, group)
     counts = _both(n_p.withColumnRenamed("_nb", "_np"), n_c.withColumnRenamed("_nb", "_nc"), group)
-    left = _by_group(probe_blocks, counts, group).withColumn("_bp", F.expr(f"pmod(xxhash64({', '.join(own)}), _np)")) \
+    left = _by_group(probe_blocks, counts, group).withColumn("_bp", F.expr("pmod(xxhash64(_p), _np)")) \
         .withColumn("_bc", F.explode(F.expr("sequence(0L, _nc - 1)")))
     right = _by_group(corpus_blocks, counts, group).withColumn("_bc", F.expr("pmod(xxhash64(_c), _nc)")) \
         .withColumn("_bp", F.explode(F.expr("sequence(0L, _np - 1)")))
-    kinds = {c: left.schema[c].dataType.simpleString() for c in own}
-    kinds["_c"] = right.schema["_c"].dataType.simpleString()
 
     def task(a: pa.Table, b: pa.Table) -> pa.Table:
-        keys = b.column("_c").combine_chunks()
-        if not len(keys) or not a.num_rows:
+        places = b.column("_c").combine_chunks()
+        if not len(places) or not a.num_rows:
             r, c, v = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         else:
-            r, c, v = _best(matrix_of(a.column("_pv")) @ matrix_of(b.column("_cv")).T, _ranks(keys), k)
-        return pa.table({**{o: a.column(o).combine_chunks().take(pa.array(r)) for o in own},
-                         "_c": keys.take(pa.array(c)), "_score": pa.array(v, pa.float64())})
+            r, c, v = _best(matrix_of(a.column("_pv")) @ matrix_of(b.column("_cv")).T, places.to_numpy(), k)
+        return pa.table({"_p": a.column("_p").combine_chunks().take(pa.array(r)), "_c": places.take(pa.array(c)),
+                         "_score": pa.array(v, pa.float64())})
 
     by = [*group, "_bp", "_bc"]
     # both sides may stem from one table: give the right one columns of its own
     right = right.select(*by, "_c", "_cv").toDF(*by, "_c", "_cv")
-    found = (left.select(*by, *own, "_pv").groupBy(*by).cogroup(right.groupBy(*by))
-             .applyInArrow(task, ", ".join([*[f"{c} {t}" for c, t in kinds.items()], "_score double"])))
-    w = Window.partitionBy(*own).orderBy(F.desc("_score"), F.asc("_c"))
+    found = (left.select(*by, "_p", "_pv").groupBy(*by).cogroup(right.groupBy(*by))
+             .applyInArrow(task, "_p long, _c long, _score double"))
+    w = Window.partitionBy("_p").orderBy(F.desc("_score"), F.asc("_c"))
     top = found.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
-    top = top.select(*[F.col(o).alias(c) for c, o in zip(probe_key, own)],
-                     F.col("_c").alias(corpus_key), F.col("_score").alias(score), F.col("_rank").alias(rank))
-    out = probes.join(top, probe_key)
-    if extra:
-        out = out.join(corpus.select(corpus_key, *extra), corpus_key)
-    return out.select(*cols, corpus_key, *extra, score, rank)
+    top = top.select("_p", "_c", F.col("_score").alias(score), F.col("_rank").alias(rank))
+    return (probes.join(top, "_p").join(corpus.select("_c", corpus_key, *extra), "_c")
+            .select(*cols, corpus_key, *extra, score, rank))
 
 
 def _ranks(keys: pa.Array) -> np.ndarray:
@@ -213,13 +218,11 @@ def search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: str, corpus_
                               [probe_key], corpus_key, [], [], vec, score, rank)
         return found.select(probe_key, corpus_key, score, rank)
     spark = corpus.sparkSession
-    ids = small.column(probe_key).combine_chunks()
-    shared = spark.sparkContext.broadcast((matrix_of(small.column(vec)), ids))
-    types = {probe_key: probes.schema[probe_key].dataType.simpleString(),
-             corpus_key: corpus.schema[corpus_key].dataType.simpleString()}
+    shared = spark.sparkContext.broadcast(matrix_of(small.column(vec)))
+    kind = corpus.schema[corpus_key].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, names = shared.value
+        matrix = shared.value
         held_p = np.zeros(0, dtype=np.int64)
         held_v = np.zeros(0)
         held_k: pa.Array | None = None
@@ -240,12 +243,14 @@ def search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: str, corpus_
             held_p, held_v, held_k = all_p[keep_at], all_v[keep_at], all_k.take(pa.array(keep_at))
         if held_k is not None:
             yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(held_p)), held_k, pa.array(held_v)], names=[probe_key, corpus_key, score])
+                [pa.array(held_p, pa.int64()), held_k, pa.array(held_v)], names=["_at", corpus_key, score])
 
-    found = corpus.select(corpus_key, vec).mapInArrow(
-        task, f"`{probe_key}` {types[probe_key]}, `{corpus_key}` {types[corpus_key]}, `{score}` double")
-    w = Window.partitionBy(probe_key).orderBy(F.desc(score), F.asc(corpus_key))
-    return found.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    found = corpus.select(corpus_key, vec).mapInArrow(task, f"_at long, `{corpus_key}` {kind}, `{score}` double")
+    w = Window.partitionBy("_at").orderBy(F.desc(score), F.col(corpus_key).asc_nulls_last())
+    top = found.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    # probes by their place, since keys may repeat; a local relation, so its size is known
+    asked = spark.createDataFrame(small.select([probe_key]).append_column("_at", pa.array(np.arange(small.num_rows, dtype=np.int64))))
+    return top.join(asked, "_at").select(probe_key, corpus_key, score, rank)
 
 
 # ---------------------------------------------------------------- block joins of one table
@@ -540,7 +545,7 @@ def join_groups(rows: DataFrame, per_group: DataFrame, group: list[str], how: st
     ``salts`` copies of it.
     """
     per_group = keep(per_group)
-    if fits(per_group, SMALL_SIDE_ROWS):
+    if fits(per_group):
         return rows.join(F.broadcast(per_group), group, how)
     spread = rows.withColumn("_salt", F.expr(f"pmod(xxhash64({', '.join(f'`{c}`' for c in rows.columns)}), {salts})"))
     copies = per_group.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))

@@ -80,7 +80,7 @@ CONV_COLS = (
     "conv_t AS (SELECT role, conv_id, turn, w, row_number() OVER (PARTITION BY role, conv_id, turn ORDER BY min(p)) AS p "
     "FROM conv_w GROUP BY role, conv_id, turn, w),\n"
     "conv_cols AS (SELECT role AS domain, conv_id AS resource_id, w AS field_name, "
-    f"{_typed('w')} AS data_type, min(turn * 100000 + p) AS ordinal_position FROM conv_t GROUP BY role, conv_id, w)")
+    f"{_typed('w')} AS data_type, min({{'turn': turn, 'at': p}}) AS ordinal_position FROM conv_t GROUP BY role, conv_id, w)")
 
 # every distinct conversation word with its vector, and the columns with theirs
 CONV_VECS = (CONV_COLS + ",\nconv_names AS (SELECT DISTINCT field_name FROM conv_cols),\n"

@@ -106,24 +106,19 @@ def unrecognised_names(spark, d):
     return sets.unrecognised(t.document_columns(spark, d), sets.enumerations(spark), "field_name")
 
 
-_SLOTS = f"('0x' || substr(md5(term), 1, 8))::BIGINT % {1 << sets.BITS}"
-
-
-@query(c.with_(_ENUMS, _LANG) + f"""SELECT domain_name, 1 + slot // 32768 AS bucket, count(*) AS n_bits FROM (
- SELECT DISTINCT domain_name, {_SLOTS} AS slot FROM (SELECT * FROM enums UNION ALL SELECT * FROM lang_sets)) GROUP BY ALL""")
+@query(c.with_(_ENUMS, _LANG) + """SELECT domain_name, ('0x' || substr(md5(term), 1, 2))::INT AS bucket, count(DISTINCT term) AS n_bits
+FROM (SELECT domain_name, term FROM enums UNION ALL SELECT domain_name, term FROM lang_sets) GROUP BY ALL""")
 def set_bitmap_store(spark, d):
-    """Sets as stored bitmaps; the bits are counted after decoding."""
+    """Sets in their stored form; the check counts the terms themselves."""
     both = sets.enumerations(spark).unionByName(language_sets(spark, d))
-    stored = sets.bitmap_store(both)
-    return stored.select("domain_name", "bucket", F.bitmap_count(F.unbase64("bitmap_b64")).alias("n_bits"))
+    return sets.packed_store(both).select("domain_name", "bucket", F.col("n_members").alias("n_bits"))
 
 
-@query(c.with_(_ENUMS, _LANG, f"a AS (SELECT DISTINCT domain_name AS probe, {_SLOTS} AS slot FROM lang_sets)",
-               f"b AS (SELECT DISTINCT domain_name, {_SLOTS} AS slot FROM enums)") + """
-SELECT probe, domain_name, count(*) AS n_shared FROM a JOIN b USING (slot) GROUP BY ALL""")
+@query(c.with_(_ENUMS, _LANG) + """SELECT probe, domain_name, count(*) AS n_shared FROM (SELECT DISTINCT domain_name AS probe, term FROM lang_sets)
+JOIN (SELECT DISTINCT domain_name, term FROM enums) USING (term) GROUP BY ALL""")
 def bitmap_overlap(spark, d):
-    words = sets.bitmap_store(language_sets(spark, d)).withColumnRenamed("domain_name", "probe")
-    return sets.bitmap_overlap(words, sets.bitmap_store(sets.enumerations(spark)), "probe")
+    words = sets.packed_store(language_sets(spark, d)).withColumnRenamed("domain_name", "probe")
+    return sets.packed_overlap(words, sets.packed_store(sets.enumerations(spark)), "probe")
 
 
 @query(c.with_(_LANG) + """SELECT DISTINCT term FROM lang_sets

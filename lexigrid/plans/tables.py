@@ -45,7 +45,7 @@ def conversation_columns(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
     words = catalog.text_catalog(turns.withColumn("_at", F.struct("conv_id", "turn")), F.col("role"), F.col("_at"), F.col("text"))
     rows = words.select("domain", F.col("resource_id.conv_id").alias("resource_id"), "field_name", "data_type",
-                        (F.col("resource_id.turn") * 100_000 + F.col("ordinal_position")).alias("ordinal_position"))
+                        F.struct(F.col("resource_id.turn").alias("turn"), F.col("ordinal_position").alias("at")).alias("ordinal_position"))
     return catalog.merge_catalog(rows)
 
 

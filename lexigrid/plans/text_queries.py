@@ -13,7 +13,6 @@ from lexigrid.sources import tables as stored
 
 N_CTX = 128
 BUDGET = 2048
-SPAN = 256
 
 
 @query("SELECT doc_id, length(s) AS n_chars, md5(s) AS digest FROM "
@@ -71,17 +70,15 @@ def doc_windows(spark, d):
     return rows.select("doc_id", "window_no", "start_token", "n_tokens", F.md5("window_text").alias("digest"))
 
 
-@query(f"""WITH RECURSIVE n AS (SELECT doc_id, doc_id // {SPAN} AS batch_no, len({c.words('text')}) + 2 AS n_tokens FROM documents),
- r AS (SELECT *, row_number() OVER (PARTITION BY batch_no ORDER BY doc_id) AS i FROM n),
- p AS (SELECT batch_no, i, doc_id, n_tokens, 0 AS bin_no, n_tokens AS used FROM r WHERE i = 1
-  UNION ALL SELECT r.batch_no, r.i, r.doc_id, r.n_tokens,
-   CASE WHEN p.used + r.n_tokens > {BUDGET} THEN p.bin_no + 1 ELSE p.bin_no END,
-   CASE WHEN p.used + r.n_tokens > {BUDGET} THEN r.n_tokens ELSE p.used + r.n_tokens END
-  FROM p JOIN r ON r.batch_no = p.batch_no AND r.i = p.i + 1)
-SELECT batch_no, bin_no, doc_id, n_tokens FROM p""")
+@query(f"""WITH RECURSIVE r AS (SELECT doc_id, len({c.words('text')}) + 2 AS n_tokens, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+ p AS (SELECT i, doc_id, n_tokens, 0 AS bin_no, n_tokens AS used FROM r WHERE i = 1
+  UNION ALL SELECT r.i, r.doc_id, r.n_tokens, p.bin_no + (p.used + r.n_tokens > {BUDGET})::INT,
+   r.n_tokens + CASE WHEN p.used + r.n_tokens > {BUDGET} THEN 0 ELSE p.used END
+  FROM p JOIN r ON r.i = p.i + 1)
+SELECT bin_no, doc_id, n_tokens FROM p""")
 def pack_sequences(spark, d):
     docs = t.documents(spark, d).select("doc_id", text.token_count(F.col("text")).alias("n_tokens"))
-    return encode.pack_texts(docs, [], "doc_id", "n_tokens", BUDGET, SPAN).select("batch_no", "bin_no", "doc_id", "n_tokens")
+    return encode.pack_texts(docs, [], "doc_id", "n_tokens", BUDGET).select("bin_no", "doc_id", "n_tokens")
 
 
 def _cells(df, key: str):

@@ -100,10 +100,22 @@ def component_labels(spark, d):
     return similarity.nearest(middle, mean_vector(emb, ["label"]), 1, ["cluster_id"], "label").drop("vec", "rank")
 
 
-@query()
+@query(c.with_(c.EMB, """centre AS (SELECT vec_id AS cell, vec, nrm FROM emb ORDER BY md5(vec_id::VARCHAR), vec_id
+ LIMIT (SELECT ceil(sqrt(count(*)))::BIGINT FROM emb))""",
+               f"near AS (SELECT e.vec_id, cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY {c.cosine('e', 'x')} DESC, cell) AS place FROM emb e, centre x)",
+               f"seen AS (SELECT p.vec_id AS probe_id, o.vec_id FROM near p JOIN near o USING (cell) WHERE p.place <= {ann.N_LOOK} AND o.place = 1 AND p.vec_id <> o.vec_id)",
+               f"scored AS (SELECT probe_id, seen.vec_id, {c.cosine('a', 'b')} AS score FROM seen JOIN emb a ON a.vec_id = probe_id JOIN emb b ON b.vec_id = seen.vec_id)") + """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 3""")
 def ann_join(spark, d):
     """Approximate: the three nearest other embeddings found in the nearest cells."""
     emb = t.embeddings(spark, d).select("vec_id", "vec")
-    probes = emb.withColumnRenamed("vec_id", "probe_id")
-    found = ann.cell_search(emb, probes, 4, "probe_id", "vec_id")
-    return found.where(F.col("probe_id") != F.col("vec_id")).select("probe_id", "vec_id", "score")
+    return ann.cell_search(emb, emb.withColumnRenamed("vec_id", "probe_id"), 3, "probe_id", "vec_id", same_keys=True)
+
+
+@query("WITH RECURSIVE " + ",\n".join([c.EMB, f"""edge AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM emb a JOIN emb b ON a.label = b.label AND a.vec_id <> b.vec_id
+ WHERE {c.cosine('a', 'b')} >= {EDGE})""", """reach(label, node, seen) AS (SELECT DISTINCT label, a, a FROM edge
+ UNION SELECT e.label, e.b, r.seen FROM reach r JOIN edge e ON e.label = r.label AND e.a = r.node)"""]) + """
+SELECT label, node AS vec_id, min(seen) AS cluster_id FROM reach GROUP BY label, node""")
+def components_in_groups(spark, d):
+    """Components of the similar embeddings of each label."""
+    return components.similar_components(t.embeddings(spark, d), "vec_id", EDGE, ["label"])

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows a lookup side may have before it is no longer broadcast or collected.
+# Rows and bytes a lookup side may have before it is no longer broadcast or collected.
 SMALL_SIDE_ROWS = 100_000
+SMALL_SIDE_BYTES = 64 << 20
 
 
 def local_session(app: str = "lexigrid", cpus: int | str = "*", memory: str = "8g",
@@ -62,6 +66,37 @@ def release() -> None:
         _kept.pop().unpersist()
 
 
-def fits(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; looks at one row more, never at all."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """Path of a new folder under ``spark.checkpoint.dir``, which all machines of a cluster share.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        base = tempfile.mkdtemp(prefix="shared-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: lists and texts by their length, all else eight."""
+    out = F.lit(16)
+    for field in df.schema.fields:
+        col, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            out = out + F.coalesce(F.octet_length(col), F.lit(0))
+        elif isinstance(kind, T.ArrayType):
+            each = 8 if isinstance(kind.elementType, T.NumericType) else 64
+            out = out + F.greatest(F.coalesce(F.size(col), F.lit(0)), F.lit(0)) * each
+        else:
+            out = out + F.lit(8 if isinstance(kind, T.AtomicType) else 64)
+    return out.cast("long")
+
+
+def fits(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS, max_bytes: int = SMALL_SIDE_BYTES) -> bool:
+    """True when ``df`` has at most so many rows and bytes; looks at one row more, never at all."""
+    head = df.limit(max_rows + 1)
+    seen = head.agg(F.count("*").alias("n"), F.sum(row_bytes(head)).alias("b")).first()
+    return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes

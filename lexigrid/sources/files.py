@@ -22,9 +22,15 @@ CITY_FIELDS = {
 }
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated lines without header or quoting."""
-    return spark.read.schema(schema).option("sep", "\t").option("quote", "").option("comment", "#").csv(path)
+def read_tsv(spark: SparkSession, path: str, schema: str, comment: str | None = None) -> DataFrame:
+    """Tab-separated lines without header or quoting; lines that begin with ``comment`` are left out."""
+    reader = spark.read.schema(schema).option("sep", "\t").option("quote", "")
+    return (reader.option("comment", comment) if comment else reader).csv(path)
+
+
+def read_countries(spark: SparkSession, path: str) -> DataFrame:
+    """The country file, the only one with comment lines."""
+    return read_tsv(spark, path, COUNTRY_SCHEMA, comment="#")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -60,13 +60,15 @@ def test_best_level_is_null_without_match(spark):
     assert got == {"Ireland": ("country", 1.0), "Paris": ("city", 1.0), "Nowhere": (None, 0.0)}
 
 
-def test_bitmaps_hold_every_term(spark):
+def test_packed_sets_hold_every_term(spark):
     known = sets.enumerations(spark)
-    stored = sets.bitmap_store(known)
-    sizes = {r.domain_name: r.n for r in stored.groupBy("domain_name").agg(F.sum("n_bits").alias("n")).collect()}
-    assert sizes["months_long"] == 12 and sizes["us_states_long"] == 50
-    over = sets.bitmap_overlap(stored.withColumnRenamed("domain_name", "p"), stored, "p").collect()
+    stored = sets.packed_store(known)
+    sizes = {r.domain_name: r.n for r in stored.groupBy("domain_name").agg(F.sum("n_members").alias("n")).collect()}
+    assert sizes == {r.domain_name: r.n for r in known.groupBy("domain_name").agg(F.count_distinct("term").alias("n")).collect()}
+    over = sets.packed_overlap(stored.withColumnRenamed("domain_name", "p"), stored, "p").collect()
     assert {(r.p, r.domain_name): r.n_shared for r in over}[("months_long", "months_long")] == 12
+    many = spark.range(300_000).select(F.lit("d").alias("domain_name"), F.col("id").cast("string").alias("term"))
+    assert sets.packed_store(many).agg(F.sum("n_members")).first()[0] == 300_000
 
 
 def test_insert_if_absent(spark):
@@ -119,9 +121,20 @@ def test_path_texts(spark):
     assert got == {("server", "s"), ("db", "s.d"), ("tab", "s.d.t: a, b")}
 
 
+def test_path_texts_keep_null_levels(spark):
+    df = spark.createDataFrame([("s", None, "t", "a")], "server string, db string, tab string, cols string")
+    got = {(r.level, r.text) for r in catalog.path_texts(df, ["server", "db", "tab"], "cols").collect()}
+    assert got == {("server", "s"), ("db", "s."), ("tab", "s..t: a")}
+
+
 def test_drift(spark):
-    df = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 2, [0.0, 1.0]), ("a", 4, [1.0, 0.0]), ("b", 2, [1.0, 1.0])], "k string, n int, vec array<double>")
-    assert [tuple(r) for r in catalog.drift(df, ["k"], "n").collect()] == [("a", 2, 0.0)]
+    df = spark.createDataFrame([("a", 1, "x", 2), ("a", 2, "y", 1), ("a", 5, "x", 3), ("a", 5, "y", 4), ("b", 2, "x", 1)], "k string, n int, i string, c int")
+    assert sorted(tuple(r) for r in catalog.drift(df, ["k"], "n", "i", "c").collect()) == [("a", 2, 0.0), ("a", 5, 0.8)]
+
+
+def test_rows_of_top_groups(spark):
+    df = spark.createDataFrame([(g, k) for g, n in (("a", 2), ("b", 3), ("c", 3), ("d", 1)) for k in range(n)], "g string, k int")
+    assert {r.g for r in catalog.of_top_groups(df, ["g"], 2).collect()} == {"b", "c"}
 
 
 def test_fixed_factors(spark):
@@ -180,7 +193,9 @@ def test_hierarchy_with_gaps(spark):
     assert {r.term for r in terms.where("domain_name = 'country'").collect()} == {"ireland", "ie", "irl", "eire", "blank", "xx", "xxx"}
     rows = spark.createDataFrame([("Sligo", "Connaught", "Eire"), ("City of Sligo", "?", "Ireland"), ("Sligoo", "?", "?")], "name string, sub string, country string")
     flags = places.match_flags(rows, {"city_match": ("name", "city"), "country_match": ("country", "country"), "admin1_match": ("sub", "admin1")}, terms)
-    assert tuple(places.match_stats(flags).first())[:6] == (3, 1, 2, 1, 1, 1)
+    stats = places.match_stats(flags, ["city_match", "country_match", "admin1_match"]).first()
+    assert (stats.n_rows, stats.n_city_match, stats.n_country_match, stats.n_admin1_match, stats.n_all, stats.n_any, stats.n_none) == (3, 1, 2, 1, 1, 2, 1)
+    assert stats.pct_country_match == 66.7
     lv = {(r.column_name, r.level): r.containment for r in places.column_levels(rows, {"c": "country", "n": "name"}, terms).collect()}
     assert lv[("c", "country")] == 0.667 and lv[("n", "city")] == 0.333 and lv[("n", "country")] == 0.0
     found = {r.name: (r.pass_no, r.geonameid, r.band) for r in places.resolve(rows, "name", F.lit("Ireland > Connacht"), full).collect()}
@@ -189,6 +204,20 @@ def test_hierarchy_with_gaps(spark):
     assert texts[3] == "Ireland > Connacht > Leitrim" and texts[2] == "Ireland > Connacht" and 5 not in texts
 
 
+def test_homonyms_and_alternate_names(spark):
+    pl = spark.createDataFrame([(1, "Paris", "France > Paris"), (2, "Paris", "USA > Texas > Paris"), (3, "Paris", "USA > Ohio > Paris"), (4, "Lyon", "France > Lyon"),
+                                (5, "Lost", None)], "geonameid int, place_name string, full_path string")
+    alt = spark.createDataFrame([(1, "Lutetia"), (2, "Little Lutetia"), (99, "Nowhere")], "geonameid int, alt_name string")
+    rows = spark.createDataFrame([("Paris", "USA"), ("Paris", "USA > Ohio"), ("PARIS", "France"), ("Paris", "Spain"), ("Lutetia", "France"), ("City of Lyon", "France"),
+                                  ("Lyyon", "France"), ("Xyz", "Spain")], "name string, at string")
+    found = {(r.name, r.context): (r.pass_no, r.geonameid, r.confidence, r.n_candidates) for r in
+             places.resolve(rows, "name", F.col("at"), pl, alt_names=alt).collect()}
+    assert found[("Paris", "USA")] == (1, 2, 1.0, 2) and found[("Paris", "USA > Ohio")] == (1, 3, 1.0, 1)
+    assert found[("PARIS", "France")] == (1, 1, 1.0, 1) and found[("Paris", "Spain")] == (1, 1, 0.8, 3)
+    assert found[("Lutetia", "France")] == (1, 1, 1.0, 1) and found[("City of Lyon", "France")] == (2, 4, 0.95, 1)
+    assert found[("Lyyon", "France")][:2] == (3, 4) and ("Xyz", "Spain") not in found
+
+
 def test_evaluation_keeps_symbols_apart_by_domain(spark):
     sym = spark.createDataFrame([("m", "x", "may", [1.0, 0.1]), ("m", "y", "may", [1.0, 0.1]), ("m", "y", "june", [0.0, 1.0])],
                                 "model string, true_domain string, symbol string, vec array<float>")
@@ -228,8 +257,10 @@ def test_samples_do_not_depend_on_partitions(spark):
 
 
 def test_tsv_csv_and_cities(spark, tmp_path):
-    (tmp_path / "a.tsv").write_text('# note\nIE.C\tConn"acht\tConnacht\t7\n')
-    assert tuple(files.read_tsv(spark, str(tmp_path / "a.tsv"), files.ADMIN_SCHEMA).first()) == ("IE.C", 'Conn"acht', "Connacht", 7)
+    (tmp_path / "a.tsv").write_text('# no note\tx\ty\t1\nIE.C\tConn"acht\tConnacht\t7\n')
+    got = [tuple(r) for r in files.read_tsv(spark, str(tmp_path / "a.tsv"), files.ADMIN_SCHEMA).collect()]
+    assert got == [("# no note", "x", "y", 1), ("IE.C", 'Conn"acht', "Connacht", 7)]
+    assert files.read_tsv(spark, str(tmp_path / "a.tsv"), files.ADMIN_SCHEMA, comment="#").count() == 1
     (tmp_path / "c.csv").write_text('name,country,geonameid\n"Foo, Bar",Ireland,5\n')
     assert tuple(files.read_csv(spark, str(tmp_path / "c.csv")).first()) == ("Foo, Bar", "Ireland", 5)
     row = {str(i): "x" for i in range(19)} | {"0": "9", "1": "Paris", "4": "48.8", "5": "2.3", "6": "P", "14": "2000000"}

@@ -175,7 +175,7 @@ def test_join_groups_spreads_a_large_side(spark, df, monkeypatch):
     rows = df.select("id", "g")
     per_group = rows.groupBy("g").agg(F.count("*").alias("n")).where("g <> 'g1'")
     want = sorted(tuple(r) for r in rows.join(per_group, "g", "left").select("g", "id", "n").collect())
-    monkeypatch.setattr(similarity, "SMALL_SIDE_ROWS", 1)
+    monkeypatch.setattr(similarity, "fits", lambda side: False)
     assert sorted(tuple(r) for r in similarity.join_groups(rows, per_group, ["g"], "left").select("g", "id", "n").collect()) == want
 
 
@@ -190,3 +190,48 @@ def test_ann_recall(df, sims):
     found = ann.cell_search(df.select("id", "vec"), probes, 5, "pid", "id", n_cells=12, n_look=4).collect()
     hit = sum(r.id in {j for _, j in sorted((-sims[r.pid, j], j) for j in range(300))[:5]} for r in found)
     assert hit / 1500 > 0.8
+
+
+def _shown(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_size_of_the_corpus_changes_no_answer(spark, monkeypatch):
+    """Repeated and NULL keys, groups, ties: the same rows whether the corpus is broadcast or cut into blocks."""
+    corpus = spark.createDataFrame([("g1", "bank", "money", [1.0, 0.0]), ("g1", "bank", "river", [0.9, 0.1]), ("g2", "bank", "river", [0.0, 1.0]),
+                                    ("g1", "tree", "wood", [0.0, 1.0]), ("g1", None, "none", [0.5, 0.5]), (None, "x", "y", [1.0, 1.0]), ("g1", "tie", "a", [1.0, 0.0])],
+                                   "grp string, ck string, sense string, vec array<double>")
+    probes = spark.createDataFrame([("g1", "p", [1.0, 0.1]), ("g1", "p", [0.0, 1.0]), ("g2", None, [1.0, 1.0]), ("g1", None, [0.4, 0.5]), (None, "q", [1.0, 0.0])],
+                                   "grp string, pk string, vec array<double>")
+    sides = (probes.drop("grp"), corpus.drop("grp"))
+
+    def all_answers():
+        return [_shown(similarity.nearest(*sides, k, ["pk"], "ck", corpus_cols=["sense"])) for k in (1, 3, 9)] + \
+            [_shown(similarity.nearest(probes, corpus, k, ["pk"], "ck", corpus_cols=["sense"], group=["grp"])) for k in (1, 2)] + \
+            [_shown(similarity.search(corpus.select("ck", "vec"), probes.select("pk", "vec"), k, "pk", "ck")) for k in (1, 3)]
+
+    small = all_answers()
+    monkeypatch.setattr(similarity, "SMALL_MATRIX_ROWS", 1)
+    monkeypatch.setattr(similarity, "ROWS_PER_BLOCK", 2)
+    assert all_answers() == small
+    assert len(small[0]) == 5 and len(small[1]) == 15 and len(small[3]) == 4
+
+
+def test_vectors_of_one_column_have_one_length(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0])], "k int, vec array<double>")
+    with pytest.raises(Exception, match="one length"):
+        similarity.best_neighbour(df, "k").collect()
+
+
+def test_components_in_groups_keep_numeric_keys_and_null_groups(spark):
+    rows = [(g, k, [1.0, 0.0]) for g in ("a", None, "b\u0001c") for k in (9, 10, 100)] + [("a", 5, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "g string, k long, vec array<double>")
+    got = {(r.g, r.k): r.cluster_id for r in components.similar_components(df, "k", 0.9, ["g"]).collect()}
+    want = {(g, k): 9 for g in ("a", "b\u0001c") for k in (9, 10, 100)}
+    assert {key: v for key, v in got.items() if key[0] is not None} == want
+
+
+def test_cells_leave_out_the_probe_itself(spark):
+    df = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(9)], "id long, vec array<double>")
+    found = ann.cell_search(df, df.withColumnRenamed("id", "pid"), 3, "pid", "id", same_keys=True).collect()
+    assert len(found) == 27 and all(r.pid != r.id for r in found)

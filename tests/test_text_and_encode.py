@@ -110,19 +110,27 @@ def test_encoding_windows_is_the_mean(spark):
 
 def test_packing(spark):
     rng = random.Random(1)
-    rows = [(s, i, rng.choice([1, 3, 5, 9, 40, 0])) for s in ("a", "b") for i in range(90)]
+    rows = [(s, i * 1000, rng.choice([1, 3, 5, 9, 40, 0])) for s in ("a", "b", None) for i in range(300)]
+    rng.shuffle(rows)
     df = spark.createDataFrame(rows, "s string, i int, n int")
-    got = {(r.s, r.i): (r.batch_no, r.bin_no) for r in encode.pack_texts(df, ["s"], "i", "n", 12, 30).collect()}
-    assert len(got) == len(rows)
-    for s in ("a", "b"):
-        for batch in range(3):
+    for shard in (["s"], []):
+        frame = df if shard else df.where("s = 'a'")
+        got = {(r.s if shard else "a", r.i): r.bin_no for r in encode.pack_texts(frame, shard, "i", "n", 12).collect()}
+        assert len(got) == frame.count()
+        for s in ("a", "b", None) if shard else ("a",):
             bin_no, used = -1, 0
-            for i in range(batch * 30, batch * 30 + 30):
-                n = next(r[2] for r in rows if r[0] == s and r[1] == i)
+            for _, i, n in sorted(r for r in rows if r[0] == s):
                 if bin_no < 0 or used + n > 12:
                     bin_no, used = bin_no + 1, 0
                 used += n
-                assert got[(s, i)] == (batch, bin_no)
+                assert got[(s, i)] == bin_no
+
+
+def test_sparse_ids_share_a_bin(spark):
+    df = spark.range(0, 20000, 1000).withColumn("n", F.lit(10))
+    assert {r.bin_no for r in encode.pack_texts(df, [], "id", "n", 2048).collect()} == {0}
+    assert encode.pack_texts(df.limit(0), [], "id", "n", 2048).count() == 0
+
 
 
 def test_models(spark):
