@@ -99,10 +99,10 @@ def _share(counts: Column | str) -> Column:
 
 
 def divergence(p: str, q: str) -> Column:
-    """Jensen-Shannon distance (base 2, from 0 to 1) of two histograms of shares; null if one is missing."""
+    """Jensen-Shannon distance (base 2, from 0 to 1, six places) of two histograms of shares; null if one is missing."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     terms = F.zip_with(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
+    return F.round(F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2)), 6)
 
 
 def references(measured: DataFrame) -> DataFrame:
@@ -145,3 +145,33 @@ def keep_sound(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     plain = [c for c, kind in docs.dtypes if "map<" not in kind]
     rejected = judge(docs, None, text, lang, F.xxhash64(*plain)).where(~F.col("kept")).select(F.col("_row").alias(mark)).distinct()
     return docs.withColumn(mark, F.xxhash64(*plain)).join(rejected, mark, "left_anti").drop(mark)
+
+
+def sql() -> str:
+    """DuckDB SQL for the rows of ``judge`` over documents."""
+    word, n_ref = "[^\\x20\\x09-\\x0D]", max(map(len, COMMON_WORDS.values())) + 1
+    punct = "[.,;:!?\'\'\"()\\[\\]{}/-]"  # the quote doubled for SQL
+    count = lambda pattern: f"len(regexp_extract_all(t, '{pattern}'))"
+    listed = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in COMMON_WORDS.items()) + " END"
+    share = lambda x: f"CASE WHEN list_sum({x}) > 0 THEN list_transform({x}, lambda v: v / list_sum({x})) END"
+    part = lambda x, p, q: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+    apart = lambda p, q: (f"round(sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: "
+                          f"{part(p + '[i]', p + '[i]', q + '[i]')} + {part(q + '[i]', p + '[i]', q + '[i]')})) / 2)), 6)")
+    means = lambda x, n: "[" + ", ".join(f"avg({x}[{i}])" for i in range(1, n + 1)) + "]"
+    return f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, t, regexp_extract_all(t, '{word}+') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+ win AS (SELECT doc_id, i, w[i:i + {WINDOW - 1}] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
+ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM win) WHERE k > 1) GROUP BY doc_id),
+ base AS (SELECT doc_id, lang, t, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {count('[#*$%&|<>]')} AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
+ shape AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  list_transform({listed}, lambda x: len(list_filter(w, lambda y: lower(y) = x))) AS f,
+  [length(t) - word_chars, {count('\\p{Lu}')}, {count('[0-9]')}, {count(punct)}, n_symbols, strlen(t) - length(t)] AS s FROM base),
+ shares AS (SELECT * EXCLUDE (f, s), {share("list_prepend(greatest(0, length(t) - list_sum(s[1:5])), s)")} AS c,
+  {share("list_append(f, greatest(0, n_words - list_sum(f)))")} AS f FROM shape),
+ refs AS (SELECT lang, {means('c', 7)} AS rc, list_filter({means('f', n_ref)}, lambda x: x IS NOT NULL) AS rf FROM shares WHERE NOT base_failed GROUP BY lang),
+ far AS (SELECT *, CASE WHEN word_chars >= {MIN_CLASS_CHARS} THEN {apart('c', 'rc')} END AS class_distance,
+  CASE WHEN n_words >= {MIN_COMMON_WORDS} THEN {apart('f', 'rf')} END AS common_distance FROM shares LEFT JOIN refs USING (lang))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, common_distance,
+ NOT base_failed AND coalesce(class_distance, 0) <= {MAX_CLASS_DISTANCE} AND coalesce(common_distance, 0) <= {MAX_COMMON_DISTANCE} AS kept FROM far"""

@@ -59,4 +59,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_html_extraction, op3_language_id, op4_mixing, op5_nearest, op6_bpe,
                             op7_quality_rules, op8_sharding, op9_simhash, op10_quality)}
 # operators whose rows plain SQL can give; the others are tested against brute force in tests/llm
-ORACLES: dict[str, str] = {"op4_mixing": mixing.sql()}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.sql(), "op7_quality_rules": quality_rules.sql()}
