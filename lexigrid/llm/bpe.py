@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
-from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-CACHE_CHUNKS = 200_000   # distinct words whose ids a worker keeps
+CACHE_PIECES = 300_000   # distinct pieces whose ids a worker keeps between texts
 BATCH_CHARS = 4 << 20    # characters of text whose ids are held at once
-# Fixed: what the tokenizer's \s matches, and characters that Python's split() would part words at besides.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = re.compile(f"[^{SPACE}]+")
-_OTHER_SPLIT = re.compile("[\x1c-\x1f]")
+# Fixed: the tokenizer's pattern, and the same for lower-cased ASCII
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+_NOT_PLAIN = re.compile("[^ -~\t-\r]")   # what doesn't stand for its own byte, or isn't ASCII
 
 
 class FragmentEncoder:
@@ -37,6 +38,7 @@ class FragmentEncoder:
         self.mark = model.get("end_of_word_suffix") or ""
         vocab = dict(model["vocab"])
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.names = {i: t for t, i in vocab.items()}
         self.last = self.tokenizer.model                     # puts the end-of-word mark on a fragment's end
         self.inner = BPE(vocab=vocab, merges=merges)         # for fragments that another one follows
         # a token string is a row of characters, each standing for one byte; pairs with a character of the mark do no harm
@@ -44,45 +46,52 @@ class FragmentEncoder:
         self.special = {t["content"]: t["id"] for t in parsed.get("added_tokens") or []}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        # whether lower-casing and that pattern are all the tokenizer does to printable ASCII
+        steps = [n["type"] for n in (parsed.get("normalizer") or {}).get("normalizers", [])]
+        splits = [p.get("pattern", {}).get("Regex") for p in (parsed.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and splits == [_PATTERN, None]
+        self.ids: dict[str, bytes] = {}     # of pieces: ids as 32-bit integers
+        self.tokens: dict[str, str] = {}    # of the same pieces: tokens joined by spaces
 
     def fragments(self, piece: str) -> list[str]:
         """Cut a row of byte characters wherever no token joins the two neighbours."""
+        if self.joined.issuperset(map(add, piece, piece[1:])):
+            return [piece]
         cuts = [i for i in range(1, len(piece)) if piece[i - 1] + piece[i] not in self.joined]
         return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)])]
 
-    def chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a run of non-space characters, and their tokens joined by spaces."""
-        ids: list[int] = []
-        values: list[str] = []
-        norm = self.tokenizer.normalizer.normalize_str(chunk) if self.tokenizer.normalizer else chunk
-        for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(norm):
-            parts = self.fragments(piece)
-            for k, part in enumerate(parts):
-                for token in (self.last if k == len(parts) - 1 else self.inner).tokenize(part):
-                    ids.append(token.id)
-                    values.append(token.value)
-        return tuple(ids), " ".join(values)
-
-    def encode(self, text: str) -> tuple[list[tuple[int, ...]], list[str]]:
-        """Per word of the text its ids and its tokens."""
-        found: list[tuple[tuple[int, ...], str]] = []
-        cache = self.cache
+    def pieces(self, text: str) -> list[str]:
+        """The rows of byte characters that the tokenizer's pattern takes together."""
+        if self.plain and not _NOT_PLAIN.search(text):
+            return _ASCII_PIECES.findall(text.lower())
+        norm = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(norm)]
+
+    def learn(self, piece: str) -> None:
+        """Encode the fragments of a piece, and remember the outcome."""
+        parts = self.fragments(piece)
+        ids = [t.id for part in parts[:-1] for t in self.inner.tokenize(part)]
+        ids += [t.id for t in self.last.tokenize(parts[-1])]
+        self.ids[piece], self.tokens[piece] = array("i", ids).tobytes(), " ".join([self.names[i] for i in ids])
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """Ids of a whole text as 32-bit integers, and its tokens joined by spaces."""
+        ids, tokens = [], []
         for part in self.special_at.split(text) if self.special_at else [text]:
             if part in self.special:
-                found.append(((self.special[part],), part))
+                ids.append(array("i", [self.special[part]]).tobytes())
+                tokens.append(part)
                 continue
-            for c in _CHUNK.findall(part) if _OTHER_SPLIT.search(part) else part.split():
-                hit = cache.get(c)
-                if hit is None:
-                    hit = self.chunk(c)
-                    if len(c) < 64:
-                        if len(cache) >= CACHE_CHUNKS:
-                            cache.clear()
-                        cache[c] = hit
-                if hit[0]:
-                    found.append(hit)
-        return [f[0] for f in found], [f[1] for f in found]
+            pieces = self.pieces(part)
+            new = set(pieces).difference(self.ids)
+            if len(self.ids) + len(new) > CACHE_PIECES and self.ids:
+                self.ids, self.tokens = {}, {}
+                new = set(pieces)
+            for p in new:
+                self.learn(p)
+            ids.append(b"".join(map(self.ids.__getitem__, pieces)))
+            tokens.extend(map(self.tokens.__getitem__, pieces))
+        return b"".join(ids), " ".join(tokens)
 
 
 @lru_cache(maxsize=2)
@@ -112,12 +121,11 @@ def encode(docs: DataFrame, spec: str, text: str = "text", keep: list[str] | Non
             texts = batch.column(len(keep))
             for start, stop in _spans(texts):
                 found = [encoder.encode(t.as_py() or "") for t in texts.slice(start, stop - start)]
-                flat = [tuple(chain.from_iterable(ids)) for ids, _ in found]
-                ends = np.cumsum([0, *map(len, flat)])
-                values = np.fromiter(chain.from_iterable(flat), np.int32, ends[-1])
+                ends = np.cumsum([0, *(len(ids) // 4 for ids, _ in found)])
+                values = np.frombuffer(b"".join([ids for ids, _ in found]), np.int32)
                 columns = [batch.column(k).slice(start, stop - start) for k in range(len(keep))]
                 columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)))
-                columns.append(pa.array([" ".join(tokens) for _, tokens in found], pa.string()))
+                columns.append(pa.array([tokens for _, tokens in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
