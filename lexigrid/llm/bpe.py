@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-CACHE_PIECES = 300_000   # distinct pieces whose ids a worker keeps between texts
-BATCH_CHARS = 4 << 20    # characters of text whose ids are held at once
+from lexigrid.llm.common import short_batches
+
+CACHE_PIECES = 100_000   # distinct pieces whose ids a worker keeps between texts
+BATCH_CHARS = 2 << 20    # characters of text whose ids are held at once
 # Fixed: the tokenizer's pattern, and the same for lower-cased ASCII
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
@@ -112,6 +114,7 @@ def encode(docs: DataFrame, spec: str, text: str = "text", keep: list[str] | Non
     no ids and an empty string; further columns are not read; an empty table gives no rows.  Nothing is shuffled.
     """
     keep = ["doc_id"] if keep is None else keep
+    short_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(spec)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>", "decoded string"])
 

@@ -36,6 +36,20 @@ def lookup(rows: DataFrame, side: DataFrame, on: list[str], row_bytes: int, how:
     return rows.join(F.broadcast(side) if small(side, row_bytes) else side, on, how)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_PER_BATCH = 1_000
+
+
+def short_batches(df: DataFrame) -> None:
+    """Have Python tasks take texts in smaller batches, unless the session has a setting of its own.
+
+    Spark's 10,000 rows are no bound when a row may be a text of any length: a worker holds a whole batch.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "10000") == "10000":
+        conf.set(_BATCH, str(ROWS_PER_BATCH))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have yet, so that helper columns clash with none of its own."""
     taken = {c.lower() for c in df.columns}

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.llm.common import short_batches
+
 MAX_LABELLED = 2_000     # labelled pages that the potentials are counted on, in the order of a hash of their key
 _HTML = "html"
 # Fixed: element classes of the HTML standard
@@ -330,6 +332,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     Null and empty pages, and pages without an article, give an empty text.  Repeated rows give their text again; an
     empty table gives no rows; without labelled pages the prior observations alone decide.  Other columns are not read.
     """
+    short_batches(pages)
     text: Column = extractor(potentials or train(pages, key, html))(F.col(html))
     out = pages.select(F.col(key).alias(key), F.col(url).alias(url), text.alias("text"))
     return out.select(key, url, "text", F.length("text").cast("long").alias("n_chars"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import lookup
+from lexigrid.llm.common import lookup, short_batches
 from lexigrid.session import cut_lineage
 
 BINS = 1 << 14            # trigrams are hashed to so many counts
@@ -118,6 +118,7 @@ class Evidence:
 
     def __init__(self, docs: DataFrame, text: str, declared: Column, address: Column):
         self.text, self.declared, self.address = text, declared, address
+        short_batches(docs)
         self.languages = languages_of(docs, declared)
         self.n = n = len(self.languages)
         if not n:

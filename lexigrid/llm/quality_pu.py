@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexigrid.llm.common import short_batches
+
 MAX_POSITIVES = 20_000    # bounds of the training sample, drawn by a hash of the key
 MAX_UNLABELLED = 40_000
 HIDDEN = 24
@@ -205,6 +207,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     with several labels is trusted if all of them are 1; null labels and null keys are not.  Without positives every
     score is 0.5.  Repeated rows stay, an empty table gives none, other columns are not read.
     """
+    short_batches(docs)
     trusted = (labels.select(F.col(key).alias(key), F.col(label).alias("_label")).where(F.col(key).isNotNull() & ~held_out(F.col(key)))
                .groupBy(key).agg(F.min("_label").alias("_least")).where("_least = 1").select(key))
     net = train(docs, trusted, key, text)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrid.llm.common import free_name
+from lexigrid.llm.common import free_name, short_batches
 from lexigrid.operators.components import connected_components
 from lexigrid.session import cut_lineage
 
@@ -150,6 +150,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     Null and blank texts have fingerprint zero and link like any other; repeated rows stay; an empty table gives
     none.  Only the two named columns are read, so other columns may have any names.
     """
+    short_batches(docs)
     rows = cut_lineage(docs.select(F.col(key).alias("key"), fingerprint(F.col(text)).alias("fp")))
     parts = components(rows, "key", "fp", radius)
     return rows.join(parts, "fp").select(
@@ -161,6 +162,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
 
     Returns the input's columns.  Of rows equal in all columns one stays.
     """
+    short_batches(docs)
     row_hash, keep_key = free_name(docs, "_row_hash"), free_name(docs, "_keep_key")
     plain = [c for c, kind in docs.dtypes if "map<" not in kind]
     hashed = docs.withColumn(row_hash, F.xxhash64(*plain))
