@@ -15,19 +15,26 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
 
 from lexigrid.llm.common import short_batches
 
-CACHE_PIECES = 100_000   # distinct pieces whose ids a worker keeps between texts
+CACHE_PIECES = 150_000   # distinct pieces whose ids a worker keeps between texts
 BATCH_CHARS = 2 << 20    # characters of text whose ids are held at once
 # Fixed: the tokenizer's pattern, and the same for lower-cased ASCII
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+_LATIN_PIECES = regex.compile(_PATTERN)
 _NOT_PLAIN = re.compile("[^ -~\t-\r]")   # what doesn't stand for its own byte, or isn't ASCII
+# Latin letters up to U+024F: composed already, with one lower case in any context, of the same class in every Unicode version
+_NOT_LATIN = re.compile("[^ -~\t-\r\xa0-\u024f]")
+_MAPPED = "\0"                             # begins a piece whose characters stand for bytes already
+_BYTES = ByteLevel(add_prefix_space=False, use_regex=False)  # gives each byte its character
 
 
 class FragmentEncoder:
@@ -63,15 +70,21 @@ class FragmentEncoder:
         return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)])]
 
     def pieces(self, text: str) -> list[str]:
-        """The rows of byte characters that the tokenizer's pattern takes together."""
+        """What the tokenizer's pattern takes together, in order."""
         if self.plain and not _NOT_PLAIN.search(text):
             return _ASCII_PIECES.findall(text.lower())
+        if self.plain and not _NOT_LATIN.search(text):
+            return _LATIN_PIECES.findall(text.lower())
         norm = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
-        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(norm)]
+        return [_MAPPED + p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(norm)]
 
     def learn(self, piece: str) -> None:
         """Encode the fragments of a piece, and remember the outcome."""
-        parts = self.fragments(piece)
+        if piece.startswith(_MAPPED):
+            row = piece[1:]
+        else:
+            row = piece if piece.isascii() else _BYTES.pre_tokenize_str(piece)[0][0]
+        parts = self.fragments(row)
         ids = [t.id for part in parts[:-1] for t in self.inner.tokenize(part)]
         ids += [t.id for t in self.last.tokenize(parts[-1])]
         self.ids[piece], self.tokens[piece] = array("i", ids).tobytes(), " ".join([self.names[i] for i in ids])
