@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 ORDER = 2
 ALPHA = 0.4
 BLOCK_BYTES = 8 << 20     # of text that one task holds with its n-grams
-BUCKET_BYTES = 32 << 20   # of text whose n-grams make one bucket of the count table
+BUCKET_BYTES = 8 << 20    # of text whose n-grams make one bucket of the count table
 SEED = 23
 _TOTAL = np.uint64(0x5EED)  # stands for "any word": its count is that of all words
 
@@ -130,14 +130,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
         ends = pa.array([*starts, len(by)], pa.int32())
         return pa.table({"bucket": pa.array(names, pa.int64()), "block": pa.array([table.column("block")[0].as_py()] * len(names), pa.int64()),
                          "grams": pa.ListArray.from_arrays(ends, pa.array(hashes[by].view(np.int64))),
-                         "n": pa.ListArray.from_arrays(ends, pa.array(times[by].astype(np.int64)))})
+                         "n": pa.ListArray.from_arrays(ends, pa.array(times[by].astype(np.int32)))})
 
     def add(table: pa.Table) -> pa.Table:
         grams = table.column("grams").combine_chunks()
         _, back = np.unique(np.asarray(grams.flatten()), return_inverse=True)
         times = np.asarray(table.column("n").combine_chunks().flatten())
         total = np.zeros(back.max() + 1, np.int64)
-        np.add.at(total, back, times)
+        np.add.at(total, back, times.astype(np.int64))
         ends = np.concatenate([[0], np.cumsum(np.asarray(grams.value_lengths()))])
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
                          "n": pa.chunked_array([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(total[back]))])})
@@ -157,7 +157,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
                          "log_score": pa.array(np.round(np.bincount(grams.doc, weights=scores, minlength=n_docs), 6)),
                          "n_backed_off": pa.array(np.bincount(grams.doc, weights=backed, minlength=n_docs).astype(np.int64))})
 
-    asked = texts.groupBy("block").applyInArrow(ask, "bucket long, block long, grams array<long>, n array<long>")
+    asked = texts.groupBy("block").applyInArrow(ask, "bucket long, block long, grams array<long>, n array<int>")
     counted = asked.groupBy("bucket").applyInArrow(add, "block long, bucket long, n array<long>")
     out = texts.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(
         give, f"key {kind}, n_words long, log_score double, n_backed_off long")
