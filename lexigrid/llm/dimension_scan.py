@@ -28,6 +28,7 @@ BLOCK_COLUMNS = 16
 CONFIDENCE = 2.1       # a candidate is given up when its scaled distance is off by so many over sqrt(columns seen)
 LIST_PART = 2048       # vectors and queries that one comparison takes; longer lists are split
 QUERY_PART = 512
+DENSE = 0.1            # share of pairs left from which on columns are added for the pairs left only
 PAIRS = 1 << 18        # pairs whose columns are gathered at once
 SEED = 11
 
@@ -107,15 +108,22 @@ def scan(index: Index, queries: np.ndarray, vectors: np.ndarray, k: int) -> tupl
     partial = _distances(q[:, :BLOCK_COLUMNS], x[:, :BLOCK_COLUMNS])
     take = min(k, len(x))
     first = np.argpartition(partial, take - 1, axis=1)[:, :take]
-    full = np.stack([((x[rows] - q[i]) ** 2).sum(axis=1) for i, rows in enumerate(first)])
+    full = ((x[first] - q[:, None, :]) ** 2).sum(axis=2)
     beat = full.max(axis=1) * (1 + 1e-9) + 1e-12   # k vectors are this near already
 
-    def kept(distance, at, seen):
+    def limit(seen):
+        """Partial distance over ``seen`` columns above which a candidate of each query is given up."""
         slack = 1.0 if seen >= width else (1 + CONFIDENCE / np.sqrt(seen)) ** 2
-        return distance * (width / seen) <= beat[at] * slack
+        return beat * slack * (seen / width)
 
     seen = min(BLOCK_COLUMNS, width)
-    qi, xi = np.nonzero(kept(partial, np.arange(len(q))[:, None], seen))
+    alive = partial <= limit(seen)[:, None]
+    while seen < width and alive.mean() > DENSE:   # many pairs left: the next columns of all at once
+        stop = min(seen + BLOCK_COLUMNS, width)
+        partial += _distances(q[:, seen:stop], x[:, seen:stop])
+        seen = stop
+        alive &= partial <= limit(seen)[:, None]
+    qi, xi = np.nonzero(alive)
     distance = partial[qi, xi]
     while seen < width:
         stop = min(seen + BLOCK_COLUMNS, width)
@@ -123,7 +131,7 @@ def scan(index: Index, queries: np.ndarray, vectors: np.ndarray, k: int) -> tupl
             part = slice(a, a + PAIRS)
             distance[part] += ((q[qi[part], seen:stop] - x[xi[part], seen:stop]) ** 2).sum(axis=1)
         seen = stop
-        stay = kept(distance, qi, seen)
+        stay = distance <= limit(seen)[qi]
         qi, xi, distance = qi[stay], xi[stay], distance[stay]
     return qi, xi
 
