@@ -1,34 +1,44 @@
 """Approximate nearest neighbours by cells, for a corpus too large to compare in full.
 
-The corpus is dealt to the nearest of about sqrt(n) centres (rows drawn by the MD5 of their key); a probe looks only into
-the few cells whose centres are nearest to it, and scores there are exact.
+The corpus is dealt to the nearest of about sqrt(n) centres, fitted on a bounded sample; a probe looks only into the
+few cells whose centres are nearest to it, and scores there are exact.  How many cells it takes is read off trials: a
+bounded sample of the probes gets its exact neighbours in the whole corpus, and the cells these lie in are ranked.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.operators import similarity
 from lexigrid.session import cut_lineage
 
-N_LOOK = 8
+N_LOOK = 8             # cells looked into at least
+SAMPLE = 20_000        # rows that centres are fitted on, in the order of a hash; every row is placed
+ROWS_PER_CELL = 8      # of the sample, at least
+ROUNDS = 8             # of k-means
+TRIALS = 256           # probes whose exact neighbours set the number of looks
+TARGET_RECALL = 0.95   # among the trials, so that 0.9 is met beyond them too
 
 
 def cell_search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: str, corpus_key: str,
-                n_cells: int | None = None, n_look: int = N_LOOK, vec: str = "vec", same_keys: bool = False) -> DataFrame:
+                n_cells: int | None = None, n_look: int | None = None, vec: str = "vec", same_keys: bool = False) -> DataFrame:
     """Approximate ``k`` nearest: probe_key, corpus_key, score, rank.
 
-    With ``same_keys`` both sides are rows of one table, and a probe is not its own neighbour.
+    Without ``n_look``, so many cells are searched as find TARGET_RECALL of the trials' true neighbours.  With
+    ``same_keys`` both sides are rows of one table, and a probe is not its own neighbour.
     """
     corpus = cut_lineage(corpus.select(corpus_key, vec).where(F.col(vec).isNotNull()))
-    probes = probes.select(probe_key, vec)
-    cells = n_cells or max(1, math.ceil(math.sqrt(corpus.count())))
-    drawn = F.md5(F.col(corpus_key).cast("string"))
-    middle = cut_lineage(corpus.orderBy(drawn, corpus_key).limit(cells).select(F.col(corpus_key).alias("cell"), vec))
-    placed = similarity.nearest(corpus, middle, 1, [corpus_key], "cell", vec).drop("score", "rank")
+    probes = probes.select(probe_key, vec).where(F.col(vec).isNotNull())
+    centres = _fit(corpus, corpus_key, vec, n_cells)
+    table = pa.table({"cell": pa.array(range(len(centres)), pa.int32()), vec: pa.array(list(centres), pa.list_(pa.float64()))})
+    middle = corpus.sparkSession.createDataFrame(table)
+    placed = cut_lineage(similarity.nearest(corpus, middle, 1, [corpus_key], "cell", vec).drop("score", "rank"))
+    n_look = n_look or _looks(placed, probes, centres, k, probe_key, corpus_key, vec, same_keys)
     looks = similarity.nearest(probes, middle, n_look, [probe_key], "cell", vec).drop("score", "rank")
     found = similarity.cross_blocks(looks, placed, k + same_keys, [probe_key], corpus_key, [], ["cell"], vec, "score", "rank")
     if same_keys:
@@ -36,3 +46,51 @@ def cell_search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: str, co
     w = Window.partitionBy(probe_key).orderBy(F.desc("score"), F.asc(corpus_key))
     return (found.select(probe_key, corpus_key, "score").withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k))
+
+
+def _drawn(rows: DataFrame, key: str, vec: str, n: int) -> DataFrame:
+    """``n`` rows in the order of a hash of their key."""
+    return rows.orderBy(F.md5(F.col(key).cast("string")), key, vec).limit(n)
+
+
+def _fit(corpus: DataFrame, key: str, vec: str, n_cells: int | None) -> np.ndarray:
+    """Unit centres by k-means on the sample, which is bounded in rows and in numbers."""
+    first = corpus.select(F.size(vec).alias("w")).first()
+    if first is None:
+        return np.zeros((0, 0))
+    most = min(SAMPLE, max(1, similarity.SMALL_MATRIX_CELLS // max(first["w"], 1)))
+    x = similarity.matrix_of(_drawn(corpus, key, vec, most).select(vec).toArrow().column(vec))
+    cells = n_cells or min(math.ceil(math.sqrt(corpus.count())), max(1, math.ceil(len(x) / ROWS_PER_CELL)))
+    centres = x[:cells].copy()
+    for _ in range(ROUNDS):
+        parts = range(0, len(x), similarity.ROWS_PER_BLOCK)
+        near = np.concatenate([(x[a : a + similarity.ROWS_PER_BLOCK] @ centres.T).argmax(axis=1) for a in parts])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centres = np.where(length > 0, sums / np.where(length > 0, length, 1), centres)
+    return centres
+
+
+def _looks(placed: DataFrame, probes: DataFrame, centres: np.ndarray, k: int, probe_key: str, corpus_key: str,
+           vec: str, same_keys: bool) -> int:
+    """How many of the nearest cells hold TARGET_RECALL of the true neighbours of the trials; N_LOOK at least."""
+    trials = _drawn(probes, probe_key, vec, TRIALS).toArrow()
+    if not len(centres) or not trials.num_rows:
+        return N_LOOK
+    trials = trials.append_column("_trial", pa.array(range(trials.num_rows), pa.int32()))
+    asked = probes.sparkSession.createDataFrame(trials)
+    # rows get numbers of their own, since keys may repeat
+    rows = cut_lineage(placed.withColumn("_row", F.monotonically_increasing_id()))
+    true = similarity.search(rows.select("_row", vec), asked.select("_trial", vec), k + same_keys, "_trial", "_row", vec)
+    true = true.join(rows.select("_row", corpus_key, "cell"), "_row")
+    if same_keys:
+        true = true.join(asked.select("_trial", probe_key), "_trial").where(F.col(probe_key) != F.col(corpus_key))
+    best = true.withColumn("_n", F.row_number().over(Window.partitionBy("_trial").orderBy(F.desc("score"), corpus_key)))
+    links = best.where(F.col("_n") <= k).select("_trial", "cell").toArrow()   # k for each trial
+    if not links.num_rows:
+        return N_LOOK
+    scores = np.round(similarity.matrix_of(trials.column(vec)) @ centres.T, similarity.DIGITS)
+    place = np.argsort(np.argsort(-scores, axis=1, kind="stable"), axis=1)    # of each cell, by nearness
+    needed = np.sort(place[np.asarray(links.column("_trial")), np.asarray(links.column("cell"))]) + 1
+    return max(N_LOOK, int(needed[math.ceil(TARGET_RECALL * len(needed)) - 1]))

@@ -1,10 +1,12 @@
 import itertools
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.operators import ann, components, similarity
+from lexigrid.plans import all_queries
 
 DIM = 8
 
@@ -235,3 +237,33 @@ def test_cells_leave_out_the_probe_itself(spark):
     df = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(9)], "id long, vec array<double>")
     found = ann.cell_search(df, df.withColumnRenamed("id", "pid"), 3, "pid", "id", same_keys=True).collect()
     assert len(found) == 27 and all(r.pid != r.id for r in found)
+
+
+def test_recall_of_ann_join_at_its_defaults(spark):
+    """Against the exact neighbours, on vectors of the kind the query runs over and on more even ones."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    emb = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    probes = emb.withColumnRenamed("vec_id", "probe_id")
+    exact = {(r.probe_id, r.vec_id) for r in similarity.nearest(probes, emb, 4, ["probe_id"], "vec_id")
+             .where("probe_id <> vec_id").withColumn("n", F.expr("row_number() over (partition by probe_id order by score desc, vec_id)"))
+             .where("n <= 3").collect()}
+    found = [(r.probe_id, r.vec_id) for r in all_queries()["ann_join"](spark, folder).collect()]
+    assert len(exact) == 3 * emb.count() and len(set(found)) == len(found)
+    assert len(exact.intersection(found)) >= 0.9 * len(exact)
+
+
+def test_looks_grow_with_the_number_of_cells(spark):
+    """Vectors without any clusters: the share of cells searched must not fall as their number grows."""
+    rng = np.random.default_rng(17)
+    for rows in (300, 3000):
+        x = rng.normal(size=(rows, 16))
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<double>")
+        probes = df.where("id % 10 = 0").withColumnRenamed("id", "pid")
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        sims = np.round(u @ u.T, 6)
+        np.fill_diagonal(sims, -2)
+        found = ann.cell_search(df, probes, 5, "pid", "id", same_keys=True).collect()
+        best = {i: set(np.argsort(-sims[i], kind="stable")[:5].tolist()) for i in range(0, rows, 10)}
+        assert sum(r.id in best[r.pid] for r in found) >= 0.9 * 5 * len(best)
