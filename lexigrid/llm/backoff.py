@@ -3,7 +3,8 @@
 Documents are dealt to blocks by a hash.  A block's distinct n-grams are dealt on, by their own hash, to the buckets
 of the count table; a bucket adds up what all blocks sent and gives the totals back; each block joins them to the
 n-grams of its documents and sums per document.  An n-gram comes once from a block however often it occurs, so
-frequent ones make no hot key.
+frequent ones make no hot key.  Texts travel compressed, hashes sorted, as the gaps between them, and counts in the bytes
+that they need; answers are what other blocks have, so small.  Nothing is rounded or left out.
 
 The model of a document is the rest of the corpus: its own n-grams are taken out of the counts.  The score of a word is
 its n-gram's count over its context's; without such a count the context is shortened and the score multiplied by ALPHA.
@@ -19,7 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDER = 2
+from lexigrid.llm.common import short_batches
+
+ORDER = 3
 ALPHA = 0.4
 BLOCK_BYTES = 8 << 20     # of text that one task holds with its n-grams
 BUCKET_BYTES = 8 << 20    # of text whose n-grams make one bucket of the count table
@@ -41,6 +44,43 @@ def _mixed(left: np.ndarray, right: np.ndarray, order: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of the bytes that the largest of them needs, lowest bytes first."""
+    planes = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+    return bytes([planes]) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    """The ``size`` numbers that ``packed`` made ``data`` of."""
+    out = np.zeros((size, 8), np.uint8)
+    if size:
+        raw = pa.decompress(data[1:], decompressed_size=size * data[0], codec="zstd", asbytes=True)
+        out[:, : data[0]] = np.frombuffer(raw, np.uint8).reshape(-1, size).T
+    return out.view("<u8").ravel()
+
+
+def pressed(texts: pa.Array) -> pa.Array:
+    """Each text compressed, after its length in bytes."""
+    raw = texts.cast(pa.large_binary()).to_pylist()
+    return pa.array([len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in raw], pa.binary())
+
+
+def unpressed(column: pa.ChunkedArray) -> pa.Array:
+    """The texts that ``pressed`` took."""
+    read = lambda d: pa.decompress(d[8:], decompressed_size=int.from_bytes(d[:8], "little"), codec="zstd", asbytes=True)
+    return pa.array([read(d) for d in column.to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+
+def _asked(grams: Grams, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a block asks for, by bucket and hash: the order of its n-grams, their buckets, hashes and counts."""
+    hashes = np.concatenate([*grams.hashes, np.array([_TOTAL])])
+    times = np.concatenate([*grams.occurrences(), [len(grams.doc)]])
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    by = np.lexsort((hashes, bucket))
+    return by, bucket[by], hashes[by], times[by]
+
+
 class Grams:
     """The n-grams of a block: for each order the hash of every distinct one, and which one ends at each word."""
 
@@ -118,37 +158,38 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     blocks, buckets = -(-size // block_bytes) or 1, -(-size // bucket_bytes) or 1
     kind = docs.schema[key].dataType.simpleString()
     # the row's own text is part of the hash, so that rows of one key spread
-    texts = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "key", "text"), F.lit(blocks))).repartition(blocks, "block")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "key", "text"), F.lit(blocks)))
+    short_batches(docs)
+    texts = dealt.withColumn("text", F.arrow_udf(pressed, "binary")("text")).repartition(blocks, "block")
 
     def ask(table: pa.Table) -> pa.Table:
-        grams = Grams(table.column("text"), order)
-        hashes = np.concatenate([*grams.hashes, np.array([_TOTAL])])
-        times = np.concatenate([*grams.occurrences(), [len(grams.doc)]])
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        names, starts = np.unique(bucket[by], return_index=True)
-        ends = pa.array([*starts, len(by)], pa.int32())
+        _, bucket, hashes, times = _asked(Grams(unpressed(table.column("text")), order), buckets)
+        names, starts = np.unique(bucket, return_index=True)
+        spans = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(bucket)])]
+        rest = hashes // np.uint64(buckets)                     # with the bucket it is the whole hash
         return pa.table({"bucket": pa.array(names, pa.int64()), "block": pa.array([table.column("block")[0].as_py()] * len(names), pa.int64()),
-                         "grams": pa.ListArray.from_arrays(ends, pa.array(hashes[by].view(np.int64))),
-                         "n": pa.ListArray.from_arrays(ends, pa.array(times[by].astype(np.int32)))})
+                         "size": pa.array([s.stop - s.start for s in spans], pa.int32()),
+                         "grams": pa.array([packed(np.diff(rest[s], prepend=np.uint64(0))) for s in spans], pa.binary()),
+                         "n": pa.array([packed(times[s]) for s in spans], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        grams = table.column("grams").combine_chunks()
-        _, back = np.unique(np.asarray(grams.flatten()), return_inverse=True)
-        times = np.asarray(table.column("n").combine_chunks().flatten())
+        sizes = table.column("size").to_pylist()
+        read = lambda c: [unpacked(x.as_py(), n) for x, n in zip(table.column(c), sizes)]
+        _, back = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in read("grams")]), return_inverse=True)
+        times = np.concatenate(read("n")).astype(np.int64)
         total = np.zeros(back.max() + 1, np.int64)
-        np.add.at(total, back, times.astype(np.int64))
-        ends = np.concatenate([[0], np.cumsum(np.asarray(grams.value_lengths()))])
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
-                         "n": pa.chunked_array([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(total[back]))])})
+        np.add.at(total, back, times)
+        others = np.split(total[back] - times, np.cumsum(sizes)[:-1])
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "size": table.column("size"),
+                         "n": pa.array([packed(x) for x in others], pa.binary())})
 
     def give(table: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = Grams(table.column("text"), order)
-        hashes = np.concatenate([*grams.hashes, np.array([_TOTAL])])
-        by = np.argsort((hashes % np.uint64(buckets)).astype(np.int64), kind="stable")   # as they were asked for
+        grams = Grams(unpressed(table.column("text")), order)
+        by, _, _, times = _asked(grams, buckets)
         answers = answers.sort_by("bucket")
-        totals = np.empty(len(hashes), np.int64)
-        totals[by] = np.asarray(answers.column("n").combine_chunks().flatten())
+        others = [unpacked(x.as_py(), n) for x, n in zip(answers.column("n"), answers.column("size").to_pylist())]
+        totals = np.empty(len(by), np.int64)
+        totals[by] = np.concatenate(others).astype(np.int64) + times
         per_order = np.split(totals[:-1], np.cumsum([len(h) for h in grams.hashes])[:-1])
         scores, used = log_scores(grams, per_order, int(totals[-1]))
         n_docs = len(grams.lengths)
@@ -157,8 +198,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
                          "log_score": pa.array(np.round(np.bincount(grams.doc, weights=scores, minlength=n_docs), 6)),
                          "n_backed_off": pa.array(np.bincount(grams.doc, weights=backed, minlength=n_docs).astype(np.int64))})
 
-    asked = texts.groupBy("block").applyInArrow(ask, "bucket long, block long, grams array<long>, n array<int>")
-    counted = asked.groupBy("bucket").applyInArrow(add, "block long, bucket long, n array<long>")
+    asked = texts.groupBy("block").applyInArrow(ask, "bucket long, block long, size int, grams binary, n binary")
+    counted = asked.groupBy("bucket").applyInArrow(add, "block long, bucket long, size int, n binary")
     out = texts.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(
         give, f"key {kind}, n_words long, log_score double, n_backed_off long")
     return out.select(F.col("key").alias(key), "n_words", "log_score", F.round(F.col("log_score") / F.nullif("n_words", F.lit(0)), 6)

@@ -241,3 +241,21 @@ def test_backoff_of_odd_rows(odd):
     assert len(rows) == odd.count()
     assert {(r["n_words"], r["log_score"], r["mean_log_score"]) for r in rows if r["doc_id"] in (1, 2, 3)} == {(0, 0.0, None)}
     assert backoff.score(odd.limit(0)).count() == 0
+
+
+def test_registered_language_model_counts_trigrams(documents):
+    """At the production defaults; a salad of the corpus's bigrams must score below a text of its trigrams."""
+    salad, real = "b c a b x c a b c x", "a b c a b c a b c x"
+    texts = ["a b x", "b c x", "c a x", "a b c a b c x", "a b c a b c a b", salad, real]
+    frame = documents.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in backoff.score(frame).collect()}
+    for k, (n, score, backed) in enumerate(simple_backoff(texts, 3)):
+        assert (got[k]["n_words"], got[k]["n_backed_off"]) == (n, backed) and abs(got[k]["log_score"] - score) < 1e-5
+    assert got[5]["log_score"] < got[6]["log_score"]
+
+
+@given(st.lists(st.integers(0, 2**64 - 1)))
+@settings(max_examples=200, deadline=None)
+def test_packed_numbers_come_back(values):
+    x = np.array(values, np.uint64)
+    assert backoff.unpacked(backoff.packed(x), len(x)).tolist() == values
