@@ -2,15 +2,16 @@
 
 Token weights are kept per cell of source, language and topic.  Each round scales the cells to the target shares of
 one margin after the other, then holds every cell at the tokens it has, so that no document is wanted more than
-once.  A cell's fitted weight over its tokens is the probability with which each of its documents is drawn.
+once; rounds go on until none changes a probability any more.  What a value has too few tokens for is wanted of the
+others.  A cell's fitted weight over its tokens is the probability with which each of its documents is drawn.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import free_name, lookup, stored, words
+from lexigrid.llm.common import free_name, lookup, small, stored, words
 from lexigrid.session import cut_lineage
 
 # topics by the first pattern that a text shows; texts without any are of the last topic
@@ -25,7 +26,9 @@ MARGINS = ("source", "lang", "topic")
 # a target share grows as the present share to this power: 1 keeps the share, 0 makes all equal
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 FRACTION = 0.5   # of all tokens that the sample is to have
-ROUNDS = 6
+ROUNDS = 6         # between two looks at the change
+MOST_ROUNDS = 3000 # without an end by then, it is an error
+TOLERANCE = 1e-4   # largest change of a probability in the last round
 SEED = "mix"
 _DIGITS = 9
 
@@ -54,38 +57,65 @@ def cells_of(described: DataFrame) -> DataFrame:
 
 
 def tempered_targets(cells: DataFrame, temper: dict[str, float], fraction: float) -> dict[str, DataFrame]:
-    """Per margin (value, target): tokens wanted of each value, together ``fraction`` of all tokens."""
+    """Per margin (value, target): tokens wanted of each value, together ``fraction`` of all tokens.
+
+    No value is to give more tokens than it has; the others make up for it in the proportion of their own targets.
+    """
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     out = {}
     for margin, power in temper.items():
-        lifted = stored(cells.groupBy(margin).agg(F.pow(F.sum("tokens") / total, F.lit(power)).alias("_lift")))
-        whole = lifted.agg(F.sum("_lift")).first()[0] or 1.0
-        out[margin] = lifted.select(margin, (F.col("_lift") / whole * total * fraction).alias("target"))
+        lifted = stored(cells.groupBy(margin).agg(F.sum("tokens").alias("_has"), F.pow(F.sum("tokens") / total, F.lit(power)).alias("_lift")))
+        # values in the order in which they run out as the level rises: a short row for each
+        line = Window.orderBy(F.col("_has") / F.col("_lift"), margin)
+        gone = F.coalesce(F.sum("_has").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        left = F.sum("_lift").over(line.rowsBetween(0, Window.unboundedFollowing))
+        levels = lifted.withColumn("_level", (F.lit(total * fraction) - gone) / left)
+        level = levels.where(F.col("_level") < F.col("_has") / F.col("_lift")).agg(F.max("_level")).first()[0]
+        wanted = F.col("_has") if level is None else F.least(F.col("_has"), F.lit(level) * F.col("_lift"))
+        out[margin] = lifted.select(margin, wanted.alias("target"))
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None) -> DataFrame:
     """The cells with their fitted ``weight``, at most their tokens.
 
-    ``targets`` has (margin, target) for each margin; a value without a target gets weight 0.  Every step is written
-    to the shared folder.  Margins agree with their targets as far as the tokens at hand allow.
+    ``targets`` has (margin, target) for each margin; a value without a target gets weight 0.  Every ROUNDS rounds are
+    written to the shared folder.  Without ``rounds`` they go on until no weight changes by TOLERANCE of its cell's tokens.
+    Margins agree with their targets as far as the tokens at hand allow.
     """
     out = cells.withColumn("weight", F.col("tokens"))
-    steps = [*targets.items()]
-    for k in range(rounds * len(steps)):
-        margin, target = steps[k % len(steps)]
-        sums = out.groupBy(margin).agg(F.sum("weight").alias("_sum"))
-        scale = sums.join(target, margin, "left").select(
-            margin, F.when(F.col("_sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("_sum")).otherwise(0.0).alias("_scale"))
-        out = out.join(scale, margin).withColumn("weight", F.col("weight") * F.col("_scale")).drop("_scale")
-        if (k + 1) % len(steps) == 0:
-            out = out.withColumn("weight", F.least("weight", "tokens"))
-        out = stored(out, "raked")  # each step reads its predecessor twice
-    return out
+    for margin, target in targets.items():
+        out = out.join(target.withColumnRenamed("target", f"_want_{margin}"), margin, "left")
+    out = stored(out, "raked")
+    one_task = small(out, 256)   # few cells need no shuffles
+    done = 0
+    while done < (rounds or MOST_ROUNDS):
+        steps = min(ROUNDS, (rounds or MOST_ROUNDS) - done)
+        out = out.coalesce(1) if one_task else out
+        for _ in range(steps):
+            out = _round(out, list(targets))
+        out, done = stored(out, "raked"), done + steps
+        if rounds is None:
+            change = out.agg(F.max(F.abs(F.col("weight") - F.col("_before")) / F.col("tokens"))).first()[0]
+            if not change or change < TOLERANCE:
+                break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"raking didn't settle within {MOST_ROUNDS} rounds")
+    return out.select(*cells.columns, "weight")
+
+
+def _round(cells: DataFrame, margins: list[str]) -> DataFrame:
+    out = cells.withColumn("_before", F.col("weight"))
+    for margin in margins:
+        out = out.withColumn("_sum", F.sum("weight").over(Window.partitionBy(margin)))
+        scaled = F.col("weight") * F.coalesce(f"_want_{margin}", F.lit(0.0)) / F.col("_sum")
+        out = out.withColumn("weight", F.when(F.col("_sum") > 0, scaled).otherwise(0.0))
+    return out.withColumn("weight", F.least("weight", "tokens"))
 
 
 def probabilities(cells: DataFrame, temper: dict[str, float] | None = None, fraction: float = FRACTION,
-                  rounds: int = ROUNDS) -> DataFrame:
+                  rounds: int | None = None) -> DataFrame:
     """Per cell its margin values and the probability of its documents."""
     cells = stored(cells, "cells")
     fitted = rake(cells, tempered_targets(cells, temper or TEMPER, fraction), rounds)
@@ -99,7 +129,7 @@ def draw(key: Column, seed: str = SEED) -> Column:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
-        temper: dict[str, float] | None = None, fraction: float = FRACTION, rounds: int = ROUNDS) -> DataFrame:
+        temper: dict[str, float] | None = None, fraction: float = FRACTION, rounds: int | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability and selected of every row.
 
     Null sources and languages count as ''.  Null and empty texts have no tokens, probability 0 and are not drawn.
@@ -113,7 +143,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
-           temper: dict[str, float] | None = None, fraction: float = FRACTION, rounds: int = ROUNDS) -> DataFrame:
+           temper: dict[str, float] | None = None, fraction: float = FRACTION, rounds: int | None = None) -> DataFrame:
     """The drawn rows with the input's columns; the texts are not shuffled while the cells fit into a broadcast."""
     chance = probabilities(cells_of(describe(docs, F.col(key), text, source, lang)), temper, fraction, rounds)
     names = {m: free_name(docs, f"_mix_{m}") for m in (*MARGINS, "probability")}

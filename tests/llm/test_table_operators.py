@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrid.llm import dimension_scan, html_tree, language_id, mixing, quality_pu, sharding
 from lexigrid.llm.common import table
@@ -159,6 +160,28 @@ def test_raking_meets_every_margin(spark):
     assert (fitted["weight"] <= fitted["tokens"] + 1e-9).all()
 
 
+def test_raking_settles_with_a_hot_source(spark):
+    """At the production defaults, with a third of the documents of one source."""
+    folder = "/root/testdata/sf0.1"
+    docs = table(spark, folder, "documents")
+    hot = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")))
+    cells = mixing.stored(mixing.cells_of(mixing.describe(hot, F.col("doc_id"))))
+    targets = {m: {r[m]: r["target"] for r in t.collect()}
+               for m, t in mixing.tempered_targets(cells, mixing.TEMPER, mixing.FRACTION).items()}
+    held = cells.toPandas()
+    for margin, want in targets.items():
+        has = held.groupby(margin)["tokens"].sum()
+        assert all(want[v] <= has[v] * (1 + 1e-9) for v in want)
+        assert abs(sum(want.values()) - mixing.FRACTION * held["tokens"].sum()) < 1e-6 * held["tokens"].sum()
+    settled = held.assign(weight=held["tokens"])
+    for _ in range(1000):
+        for margin, want in targets.items():
+            settled["weight"] *= settled[margin].map(want) / settled.groupby(margin)["weight"].transform("sum")
+        settled["weight"] = settled[["weight", "tokens"]].min(axis=1)
+    got = mixing.probabilities(cells).toPandas().merge(settled, on=list(mixing.MARGINS))
+    assert len(got) == len(held) and ((got["probability"] - got["weight"] / got["tokens"]).abs() < 0.01).all()
+
+
 def test_sample_follows_the_probabilities(spark, documents):
     mixed = mixing.mix(documents).toPandas()
     chosen = {r["doc_id"] for r in mixing.sample(documents).collect()}
