@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # the characters that part words, as a trim set and as a pattern
@@ -77,3 +77,21 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ranked(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """``rows`` with ``at`` (place within its group from 0, in the given order) and ``n`` (size of the group).
+
+    ``group`` is a column without nulls.  Rows are sorted in ranges, and the rows of the ranges before are added up, so
+    that no group and no repeated key meets in one task.
+    """
+    keys = [F.col(group), *order, F.monotonically_increasing_id()]   # the last parts repeated keys
+    laid = stored(rows.repartitionByRange(*keys).sortWithinPartitions(group, *order)
+                  .withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "ranked")
+    sizes = laid.groupBy(group, "_part").agg(F.count("*").alias("_rows"), F.min("_row").alias("_first"))
+    whole = Window.partitionBy(group)   # a row for each range that holds rows of the group
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(group, "_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+                         F.sum("_rows").over(whole).alias("n"))
+    out = lookup(laid, sizes, [group, "_part"], row_bytes=256, how="inner")
+    return out.withColumn("at", F.col("_row") - F.col("_first") + F.col("_before")).drop("_part", "_row", "_first", "_before")
