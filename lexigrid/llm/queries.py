@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexigrid.llm import (
-    backoff, bpe, dimension_scan, html_tree, language_id, merkle, mixing, norm_buckets, quality_pu, quality_rules, sharding, simhash)
+    backoff, bpe, dimension_scan, html_tree, language_id, merkle, mixing, multi_index, norm_buckets, quality_pu, quality_rules, sharding, simhash)
 from lexigrid.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -65,11 +66,17 @@ def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_buckets.top_products(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multi_index.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_html_extraction, op3_language_id, op4_mixing, op5_nearest, op6_bpe,
                             op7_quality_rules, op8_sharding, op9_simhash, op10_quality, op11_merkle,
-                            op12_exact_topk)}
+                            op12_exact_topk, op13_hard_negatives)}
 # operators whose rows plain SQL can give; the others are tested against brute force in tests/llm
 ORACLES: dict[str, str] = {"op4_mixing": mixing.sql(), "op7_quality_rules": quality_rules.sql(),
                            "op11_merkle": merkle.sql(),
-                           "op12_exact_topk": norm_buckets.sql()}
+                           "op12_exact_topk": norm_buckets.sql(),
+                           "op13_hard_negatives": multi_index.sql()}
