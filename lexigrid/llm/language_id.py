@@ -1,9 +1,12 @@
 """Language identification by fusing evidence: text, declared language, and the address a document comes from.
 
 Text evidence is the likelihood of a document's letter trigrams under each language's trigram shares, which are
-counted over the whole corpus.  The declared language is a noisy witness whose reliability is estimated.  The
-prior of a host is smoothed towards the prior of its address suffix, and that one towards the corpus.  All counts
-behind these are grouped aggregations.
+counted over the whole corpus, smoothed towards the shares over all languages.  One more class, ``other``, stands for
+languages without a model: it is likelier than a text's best language where the text falls short of what that
+language's own texts reach, by more than half the way to what the nearest other language would and by more than chance
+moves so short a text.  The declared language is a noisy witness whose reliability is estimated.  The prior of a host is
+smoothed towards the prior of its address suffix, and that one towards the corpus.  All counts behind these are grouped
+aggregations.
 """
 
 from __future__ import annotations
@@ -17,7 +20,12 @@ from lexigrid.llm.common import lookup, short_batches
 from lexigrid.session import cut_lineage
 
 BINS = 1 << 14            # trigrams are hashed to so many counts
-MIN_SHARE = 0.005         # languages declared by fewer of the documents are not told apart: at most 200 remain
+MIN_DOCS = 3              # texts that must declare a language before it gets a model, however many others there are
+MIN_TRIGRAMS = 20         # of a text, for evidence that it is of no model's language
+SPREAD = 10.0             # three deviations of a trigram's nats: a short text may be so far off its language's level
+MOST_LANGUAGES = 256      # models that are broadcast; texts of the others keep the language that they declare
+OTHER = "other"
+BACKGROUND = 200.0        # trigrams that the shares over all languages count as in the model of one
 EFFECTIVE = 60.0          # trigrams overlap, so a text counts as no more than so many independent ones
 STRENGTH = 20.0           # documents that the parent's prior stands for when a host's is smoothed
 MIN_POSTERIOR = 0.5
@@ -38,15 +46,14 @@ def trigram_bins(text: str) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64)
 
 
-def languages_of(docs: DataFrame, declared: Column, min_share: float = MIN_SHARE) -> list[str]:
-    """Declared languages with at least ``min_share`` of the documents that declare one; so at most 1 / min_share."""
-    counts = docs.select(declared.alias("l")).where("l is not null and l <> ''").groupBy("l").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return sorted(r["l"] for r in counts.where(F.col("count") >= min_share * total).select("l").collect())
+def languages_of(docs: DataFrame, text: str, declared: Column, min_docs: int = MIN_DOCS, most: int = MOST_LANGUAGES) -> list[str]:
+    """Languages that at least ``min_docs`` texts declare; the ``most`` frequent ones, should there be more."""
+    counts = docs.select(declared.alias("l"), F.col(text).alias("t")).where("l is not null and l <> '' and t is not null").groupBy("l").count()
+    return sorted(r["l"] for r in counts.where(F.col("count") >= min_docs).orderBy(F.desc("count"), "l").limit(most).collect())
 
 
-def train(docs: DataFrame, text: str, declared: Column, languages: list[str]) -> np.ndarray:
-    """log P(trigram bin | language), counted over every document that declares one of the languages."""
+def count_trigrams(docs: DataFrame, text: str, declared: Column, languages: list[str]) -> np.ndarray:
+    """Trigrams by [language, bin] over every document that declares one of the languages."""
     place = {name: k for k, name in enumerate(languages)}
 
     def count(batches):
@@ -60,30 +67,49 @@ def train(docs: DataFrame, text: str, declared: Column, languages: list[str]) ->
                                          ["language", "bin", "n"])
 
     rows = docs.select(declared.alias("l"), F.col(text).alias("t")).mapInArrow(count, "language int, bin int, n long")
-    counts = np.full((len(languages), BINS), 0.5)
-    # at most languages * BINS rows
-    for r in rows.groupBy("language", "bin").agg(F.sum("n").alias("n")).toArrow().to_pylist():
-        counts[r["language"], r["bin"]] += r["n"]
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    seen = rows.groupBy("language", "bin").agg(F.sum("n").alias("n")).toArrow()   # MOST_LANGUAGES * BINS rows at most
+    counts = np.zeros((len(languages), BINS))
+    counts[np.asarray(seen.column("language")), np.asarray(seen.column("bin"))] = np.asarray(seen.column("n"))
+    return counts
+
+
+class Model:
+    """log P(trigram bin | language), and per language the level below which a text is rather of another."""
+
+    def __init__(self, counts: np.ndarray):
+        total = counts.sum(axis=1, keepdims=True)
+        shares = counts / np.maximum(total, 1)
+        common = 0.9 * shares.mean(axis=0) + 0.1 / BINS
+        common /= common.sum()
+        self.logs = np.log((counts + BACKGROUND * common) / (total + BACKGROUND))
+        p = np.exp(self.logs)
+        reached = p @ self.logs.T                      # [texts of, model of]: nats per trigram expected
+        own = np.diag(reached).copy()
+        np.fill_diagonal(reached, -np.inf)
+        nearest = np.maximum(reached.max(axis=1), -np.log(BINS))
+        self.level = (own + nearest) / 2
+
+    def score(self, text: str | None) -> np.ndarray:
+        """Nats per trigram over an even spread, then the tempered log-likelihoods of the languages and of ``other``."""
+        bins = trigram_bins(text or "")
+        out = np.zeros(len(self.logs) + 2)
+        if len(bins):
+            sums = sum(self.logs[:, bins[k : k + _BLOCK]].sum(axis=1) for k in range(0, len(bins), _BLOCK))
+            mean = sums / len(bins)
+            best = mean.argmax()
+            out[0] = mean[best] + np.log(BINS)
+            # a few trigrams don't tell a language without a model from a rare word
+            other = self.level[best] - SPREAD / np.sqrt(len(bins)) if len(bins) >= MIN_TRIGRAMS else mean.min()
+            out[1:] = (np.append(mean, other) - mean[best]) * min(len(bins), EFFECTIVE)
+        return out
 
 
-def _evidence(docs: DataFrame, model: np.ndarray):
-    sent = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.T))  # BINS rows, bounded by the languages
+def _evidence(docs: DataFrame, model: Model):
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # MOST_LANGUAGES * BINS numbers at most
 
     @F.arrow_udf("array<double>")
     def evidence(texts: pa.Array) -> pa.Array:
-        """Per text: nats per trigram over an even spread, then the tempered log-likelihood of each language."""
-        table = sent.value
-        out = []
-        for t in texts:
-            bins = trigram_bins(t.as_py() or "")
-            if not len(bins):
-                out.append([0.0] + [0.0] * table.shape[1])
-                continue
-            sums = sum(table[bins[k : k + _BLOCK]].sum(axis=0) for k in range(0, len(bins), _BLOCK))
-            mean = sums / len(bins)
-            out.append([float(mean.max() + np.log(BINS)), *(float(x) for x in (mean - mean.max()) * min(len(bins), EFFECTIVE))])
-        return pa.array(out, pa.list_(pa.float64()))
+        return pa.array([sent.value.score(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     return evidence
 
@@ -119,11 +145,12 @@ class Evidence:
     def __init__(self, docs: DataFrame, text: str, declared: Column, address: Column):
         self.text, self.declared, self.address = text, declared, address
         short_batches(docs)
-        self.languages = languages_of(docs, declared)
-        self.n = n = len(self.languages)
-        if not n:
+        self.languages = languages_of(docs, text, declared)
+        self.known = bool(self.languages)
+        if not self.known:
             return
-        self.udf = _evidence(docs, train(docs, text, declared, self.languages))
+        self.n = n = len(self.languages) + 1   # with ``other``, the last
+        self.udf = _evidence(docs, Model(count_trigrams(docs, text, declared, self.languages)))
         rows = cut_lineage(self.shares(docs.select(*self._inputs(docs))))
         whole = _sums(rows, [], n).first()                                    # one row of so many numbers
         self.all, self.n_all = whole["_all"] or [0.0] * n, whole["_n_all"]
@@ -163,7 +190,7 @@ class Evidence:
             logs.append(at("_logs") + F.log(in_host) + said)
         out = out.withColumn("_post", F.array(*logs)).withColumn("_post", _softmax("_post")).withColumn("_post", _scaled("_post"))
         best = F.array_max("_post")
-        names = F.array(*map(F.lit, self.languages))
+        names = F.array(*map(F.lit, [*self.languages, OTHER]))
         return out.withColumns({"language": F.get(names, (F.array_position("_post", best) - 1).cast("int")),
                                 "posterior": best, "fit": F.col("_fit")})
 
@@ -171,10 +198,18 @@ class Evidence:
         """``keep`` columns, language, posterior, fit and kept for every row of ``docs``."""
         rows = docs.select(*[c.alias(k) for k, c in keep.items()], *self._inputs(docs))
         out = self.fuse(self.shares(rows))
-        kept = (F.col("fit") >= MIN_FIT) & (F.col("posterior") >= MIN_POSTERIOR)
+        # a text of no model's language is taken at its word where it declares such a language
+        out = out.withColumn("_own", (F.col("language") == OTHER) & (F.col("said") != "") & ~F.col("said").isin(self.languages))
+        out = out.withColumn("language", F.when(F.col("_own"), F.col("said")).otherwise(F.col("language")))
+        told = (F.col("language") != OTHER) & (F.col("_own") | (F.col("fit") >= MIN_FIT)) & (F.col("posterior") >= MIN_POSTERIOR)
         return out.select(*keep, F.when(F.col("fit") != 0, F.col("language")).alias("language"),
                           F.when(F.col("fit") != 0, F.round("posterior", 6)).alias("posterior"),
-                          F.round("fit", 6).alias("fit"), kept.alias("kept"))
+                          F.round("fit", 6).alias("fit"), (told & (F.col("fit") != 0)).alias("kept"))
+
+
+def has_letter(text: Column) -> Column:
+    """As ``trigram_bins`` sees it: an ASCII letter or anything beyond ASCII."""
+    return F.coalesce(text.rlike("[A-Za-z]|[^\\x00-\\x7F]"), F.lit(False))
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", declared: Column | None = None,
@@ -182,15 +217,17 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", declared:
     """key, language, posterior, fit and kept of every row; by default over documents.
 
     ``declared`` is the language that markup or metadata state, ``address`` a URL or host.  Texts without a letter (null
-    and empty ones too) have no language and are not kept.  A null declared language or address is no evidence.  A table
-    in which no row declares a language, and an empty one, give no language to any row.  Repeated rows are told alike.
+    and empty ones too) have no language and are not kept.  A null declared language or address is no evidence.  Texts of
+    a language that too few texts declare for a model keep the language that they declare; without one they are
+    ``other`` and not kept.  Where no language has a model, no row gets a language, and all with a letter are kept
+    undecided.  An empty table gives no rows.  Repeated rows are told alike.
     """
     declared = F.col("lang") if declared is None else declared
     address = F.col("source") if address is None else address
     evidence = Evidence(docs, text, declared, address)
-    if not evidence.n:
-        return docs.select(F.col(key).alias(key), F.lit(None).cast("string").alias("language"),
-                           F.lit(None).cast("double").alias("posterior"), F.lit(0.0).alias("fit"), F.lit(False).alias("kept"))
+    if not evidence.known:
+        return docs.select(F.col(key).alias(key), F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"),
+                           F.lit(0.0).alias("fit"), has_letter(F.col(text)).alias("kept"))
     return evidence.identified(docs, {key: F.col(key)})
 
 
@@ -204,10 +241,10 @@ def identify_pages(pages: DataFrame, key: str = "page_id", url: str = "url", htm
 
 
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The kept rows with the input's columns; ``lang`` becomes the identified language."""
+    """The kept rows with the input's columns; ``lang`` becomes the identified language, if there is one."""
     evidence = Evidence(docs, text, F.col(lang), F.col(source))
-    if not evidence.n:
-        return docs.limit(0)
+    if not evidence.known:
+        return docs.where(has_letter(F.col(text)))
     held = {c: f"_in_{k}" for k, c in enumerate(docs.columns)}
     out = evidence.identified(docs, {h: F.col(c) for c, h in held.items()}).where("kept")
     return out.select(*[F.col("language" if c == lang else h).alias(c) for c, h in held.items()])

@@ -27,6 +27,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page, with the markup's declaration and the page's address as evidence."""
+    return language_id.identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_html_extraction, op3_language_id, op4_mixing, op5_nearest, op6_bpe,
                             op7_quality_rules, op8_sharding, op9_simhash, op10_quality, op11_merkle,
-                            op12_exact_topk, op13_hard_negatives)}
+                            op12_exact_topk, op13_hard_negatives, pages_language)}
 # operators whose rows plain SQL can give; the others are tested against brute force in tests/llm
 ORACLES: dict[str, str] = {"op4_mixing": mixing.sql(), "op7_quality_rules": quality_rules.sql(),
                            "op11_merkle": merkle.sql(),

@@ -136,7 +136,69 @@ def test_language_of_odd_rows(odd, docs_of):
     assert language_id.identify(odd.limit(0)).count() == 0
     kept = language_id.keep_identified(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} <= {4, 5, 6, 7, None}
-    assert language_id.keep_identified(docs_of([(1, "no one declares", None, None)])).count() == 0
+    undeclared = docs_of([(1, "no one declares", None, None), (2, " 12 ", None, None), (3, None, None, None)])
+    assert [r["doc_id"] for r in language_id.keep_identified(undeclared).collect()] == [1]   # undecided, not lost
+    assert [(r["doc_id"], r["language"], r["kept"]) for r in language_id.identify(undeclared).collect()] == [(1, None, True), (2, None, False), (3, None, False)]
+
+
+IT = "Questa mattina il mercato della piazza era pieno di gente che comprava frutta e verdura fresca, mentre i bambini giocavano vicino. "
+FI = "Tänä aamuna torilla oli paljon ihmisiä, jotka ostivat tuoreita hedelmiä ja vihanneksia, kun lapset leikkivät suihkulähteen lähellä. "
+DA = "I morges var der mange mennesker på torvet, som købte frisk frugt og grøntsager, mens børnene legede ved springvandet og lo højt. "
+
+
+def test_rare_languages_are_neither_relabelled_nor_lost(spark):
+    big = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source")
+    rare = [(10**6 + k, IT * (1 + k % 3), "it", "src1") for k in range(7)] + [(10**6 + 10 + k, FI * (1 + k % 2), "fi", "src2") for k in range(5)]
+    rare += [(10**6 + 20 + k, DA * 2, "da", "src3") for k in range(2)] + [(10**6 + 30, DA * 2, None, "src3"), (10**6 + 31, IT, None, "src4")]
+    docs = big.unionByName(spark.createDataFrame(rare, "doc_id long, text string, lang string, source string"))
+    got = {r["doc_id"]: r for r in language_id.identify(docs).where("doc_id >= 1000000").collect()}
+    # too few Danish texts for a model: they keep the language that they declare; without one they are of another language
+    assert all(got[k]["language"] == said and got[k]["kept"] for k, _, said, _ in rare if said)
+    assert got[10**6 + 30]["language"] == "other" and not got[10**6 + 30]["kept"] and got[10**6 + 31]["language"] == "it"
+    kept = {r["doc_id"]: r["lang"] for r in language_id.keep_identified(docs).where("doc_id >= 1000000").collect()}
+    assert kept == {k: r["language"] for k, r in got.items() if r["kept"]}
+    nameless = big.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.keep_identified(nameless).count() == big.where("text rlike '[A-Za-z]'").count()
+
+
+def test_more_languages_than_models(docs_of):
+    docs = docs_of([(100 * x + k, f"{chr(97 + x)}{chr(98 + x)} " * 30, f"l{x}", "s") for x in range(6) for k in range(3 + x)])
+    assert language_id.languages_of(docs, "text", docs["lang"], most=2) == ["l4", "l5"]
+    assert language_id.languages_of(docs, "text", docs["lang"], min_docs=5) == ["l2", "l3", "l4", "l5"]
+
+
+def test_posterior_is_what_the_evidence_gives(docs_of):
+    """The fused posterior, computed again from all rows at once."""
+    en, de, fr = "the and that with this from have are was ", "der die und das nicht mit auf ein eine ", "le la les des une est dans pour que "
+    rows = [(k, [en, de, fr][k % 3] * (1 + k % 4), [("en", "de", "fr")[k % 3], None, "en"][k % 7 % 3], ["a.com", "b.de", "c.de", "src1", None][k % 5]) for k in range(50)]
+    docs = docs_of(rows)
+    languages = language_id.languages_of(docs, "text", docs["lang"])
+    assert languages == ["de", "en", "fr"]
+    counts = np.zeros((3, language_id.BINS))
+    for _, t, said, _ in rows:
+        if said:
+            np.add.at(counts[languages.index(said)], language_id.trigram_bins(t), 1)
+    model = language_id.Model(counts)
+    logs = np.array([model.score(t)[1:] for _, t, _, _ in rows])
+    share = np.exp(logs - logs.max(axis=1, keepdims=True))
+    share /= share.sum(axis=1, keepdims=True)
+    said = [r[2] or "" for r in rows]
+    host = [r[3] or "" for r in rows]
+    suffix = [h.rpartition(".")[2] if "." in h else "" for h in host]
+    n, c = 4, language_id.STRENGTH
+    want = {}
+    for k, (key, *_rest) in enumerate(rows):
+        alike = lambda names: np.array([x == names[k] for x in names])  # noqa: B023, E731
+        everywhere = (share.sum(axis=0) + 1) / (len(rows) + n)
+        in_suffix = (share[alike(suffix)].sum(axis=0) + c * everywhere) / (alike(suffix).sum() + c)
+        own = np.maximum(share[alike(host)].sum(axis=0) - share[k], 0)
+        prior = (own + c * in_suffix) / (alike(host).sum() - 1 + c)
+        witness = np.ones(n) if not said[k] else (share[alike(said)].sum(axis=0) + 1) / (share.sum(axis=0) + n + 1)
+        post = np.exp(logs[k] - logs[k].max()) * prior * witness
+        post /= post.sum()
+        want[key] = ([*languages, "other"][int(post.argmax())], round(float(post.max()), 6))
+    got = {r["doc_id"]: (r["language"], r["posterior"]) for r in language_id.identify(docs).collect()}
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
 
 
 # mixing
