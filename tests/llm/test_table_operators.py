@@ -41,28 +41,126 @@ def test_article_without_its_surroundings(spark, open_, close):
         assert html_tree.extract_all([PAGE.format(open=open_, close=close)], potentials) == [MAIN]
 
 
-def test_messages_give_the_marginals_of_the_joint_distribution():
+def test_messages_give_the_marginals_of_the_joint_distribution(monkeypatch):
+    monkeypatch.setattr(html_tree, "MOST_BELOW", np.inf)   # without the tempering of many children
     rng = np.random.default_rng(5)
     n = 7
     parent = np.array([-1, 0, 0, 1, 1, 2, 2])
     depth = np.array([0, 1, 1, 2, 2, 2, 2])
     seen = np.full((n, 3), -1)
     seen[:, 0] = rng.integers(3, len(html_tree.KINDS), n)
+    named = np.array([0.0, -5.0, 0.5, 3.0, 0.0, -1.0, 2.5])
     edges = rng.dirichlet([1, 1], (len(html_tree.EDGES), 2))
     potentials = html_tree.Potentials(rng.normal(size=len(html_tree.FEATURES)), np.log(edges))
-    at = html_tree.edges_of(np.maximum(parent, 0), seen[:, 0])
+    at = html_tree.edges_of(np.maximum(parent, 0), seen[:, 0], named)
     total, ones = 0.0, np.zeros(n)
     for states in np.ndindex(*[2] * n):
         s = np.array(states)
-        p = math.exp(sum(potentials.odds[seen[k, 0]] * s[k] for k in range(n)))
+        p = math.exp(sum((potentials.odds[seen[k, 0]] + named[k]) * s[k] for k in range(n)))
         for k in range(1, n):
             p *= edges[at[k], s[parent[k]], s[k]]
         total += p
         ones += p * s
-    got = html_tree.marginals(np.maximum(parent, 0), depth, seen, potentials)
+    got = html_tree.marginals(np.maximum(parent, 0), depth, seen, named, potentials)
     assert np.allclose(got, ones / total)
 
 
+LONG = [f"Paragraph {k} tells at some length what happened next, so that its text is that of an article and no menu." for k in range(10)]
+WRAPPERS = [('<article class="post comment-open">', "</article>"), ('<article class="overflow-hidden">', "</article>"),
+            ('<div class="content no-sidebar">', "</div>"), ('<div class="long-form">', "</div>"), ('<div class="elementor-widget">', "</div>"),
+            ('<div id="story-share-wrapper"><article>', "</article></div>"), ('<main class="search-results">', "</main>"),
+            ("<div>", "</div>"), ('<div id="page"><div class="x7"><section>', "</section></div></div>"),
+            ('<div class="layout"><main><article class="has-comments">', "</article></main></div>")]
+SITE = """<html><head><title>t</title></head><body><header class="site-header"><a href="/">Home</a><ul class="main-nav"><li><a href="/a">A</a></li></ul></header>
+<div class="cookie-notice"><p>We use cookies on this site, and by reading on you agree to all of them and more besides.</p></div>
+{open}{body}{close}<div class="sidebar"><p>Popular stories that are long enough to look like an article's text.</p></div>
+<div class="related-posts"><p>Read also what others have written at length about the very same matter.</p></div>
+<section id="comments">{comments}</section><footer><p>Imprint and all rights reserved by the owner of this site for ever.</p></footer></body></html>"""
+
+
+@pytest.fixture(scope="module")
+def both_potentials(spark):
+    unseen = html_tree.Potentials.from_counts(np.zeros((len(html_tree.FEATURES), 2)), np.zeros((len(html_tree.EDGES), 2, 2)))
+    return html_tree.train(table(spark, "/root/testdata/sf0.01", "pages")), unseen
+
+
+@pytest.mark.parametrize("open_, close", WRAPPERS)
+@pytest.mark.parametrize("n_comments", [1, 40])
+def test_words_in_names_of_wrappers_do_not_decide(both_potentials, open_, close, n_comments):
+    body = "".join(f"<p>{x}</p>" for x in LONG) + '<p class="label">A short label.</p><p id="share-of-market">The share of the market rose by a tenth.</p>'
+    comments = "".join(f'<div class="comment"><p>Reader {k} liked reading this a lot, and will come back for more of it soon.</p></div>' for k in range(n_comments))
+    page = SITE.format(open=open_, close=close, body=body, comments=comments)
+    want = " ".join([*LONG, "A short label.", "The share of the market rose by a tenth."])
+    for potentials in both_potentials:
+        assert html_tree.extract_all([page], potentials) == [want]
+
+
+FOUR, TALK = "".join(f"<p>{x}</p>" for x in LONG[:4]), "Reader {} liked reading this a lot, and will come back for more of it soon, as will all of the others."
+THREAD = "".join(f"<p>{TALK.format(k)}</p>" for k in range(30))
+BODIES = {
+    "comments are articles": (f'<article>{FOUR}</article><section id="comments">' + "".join(f"<article><p>{TALK.format(k)}</p></article>" for k in range(12)) + "</section>", ""),
+    "comments in the article": (f'<article>{FOUR}<section id="comments">' + "".join(f'<article class="comment">{TALK.format(k)}</article>' for k in range(12)) + "</section></article>", ""),
+    "more comments than article": (f'<div class="post">{FOUR}</div><div class="comments">{THREAD}</div>', ""),
+    "long thread in the article": (f'<article>{FOUR}<div class="comments">{THREAD}</div></article>', ""),
+    "long aside in main": (f"<main><article>{FOUR}</article><aside>{THREAD}</aside></main>", ""),
+    "notice and advert": (f'<article><div class="notice"><p>You have two free articles left, so subscribe now.</p></div>{FOUR}<div class="ad">Buy it now.</div></article>', ""),
+    "divs for paragraphs": ("<article>" + "".join(f"<div>{x}</div>" for x in LONG[:4]) + "</article>", ""),
+    "table": (f"<article>{FOUR}<table><tr><td>a</td><td>b</td></tr><tr><td>1</td><td>2</td></tr></table></article>", " a b 1 2"),
+    "links": (f'<article>{FOUR}<p>See <a href="x">this page</a>.</p><p><a href="z">Only a link</a></p></article>', " See this page. Only a link"),
+    "wrapper without an article": (f'<div id="wrapper"><div class="nav"><a href="/">Home</a></div><div class="c1">{FOUR}</div><div class="c2"><a href="/a">A</a></div></div>', ""),
+    "paragraphs in the body": (f'<nav><a href="/">Home</a></nav>{FOUR}<footer>Imprint</footer>', ""),
+    "hidden": (f'<article>{FOUR}<p hidden>secret</p><p class="hidden-xs">shown text here</p></article>', " shown text here"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(BODIES))
+def test_kinds_of_pages(both_potentials, name):
+    body, more = BODIES[name]
+    for potentials in both_potentials:
+        assert html_tree.extract_all([f"<html><body>{body}</body></html>"], potentials) == [" ".join(LONG[:4]) + more]
+
+
+def test_short_articles(both_potentials):
+    items = "".join(f"<li>Item {k}</li>" for k in range(30))
+    for potentials in both_potentials:
+        assert html_tree.extract_all([f"<article><h1>Title</h1><ul>{items}</ul></article>", '<nav><a href="/">H</a></nav><article><h1>A</h1></article>',
+                                      '<nav><a href="/">Home</a></nav><footer>Imprint</footer>'], potentials) \
+            == ["Title " + " ".join(f"Item {k}" for k in range(30)), "A", ""]
+
+
+def test_names_are_learned_from_labelled_pages(spark):
+    """A name that no list knows, and one that the lists know otherwise, are told by where labelled pages have them."""
+    def page(k, marked):
+        a, b = ("<article>", "</article>") if marked else ("", "")
+        return (f'<body><div class="zork">Zork text {k} that is as long as the paragraphs of any other part of the page.</div>{a}<p>{LONG[k % 10]}</p>'
+                f'<div class="widget"><p>{LONG[(k + 1) % 10]}</p><p>{LONG[(k + 2) % 10]}</p></div><div class="zork">more zork {k}</div>{b}</body>')
+
+    def inside_zork(k):   # unmarked pages don't label anything
+        return page(k, False)
+
+    pages = spark.createDataFrame([(k, page(k, True).replace(f'<div class="zork">more zork {k}</div>', "")) for k in range(60)] + [(100, inside_zork(1))],
+                                  "page_id long, html string")
+    learned = html_tree.train(pages)
+    assert learned.names["zork"] < -3 and learned.named(("zork",)) < -3
+    got = html_tree.extract_all([f'<body><article><p>{LONG[0]}</p><div class="zork">Zork again.</div></article></body>'], learned)
+    assert got == [LONG[0]]
+
+
+def test_what_a_name_says_by_its_words():
+    prior = html_tree.prior_of
+    for name in ("sidebar", "main-nav", "siteFooter", "comments", "comment-list", "ad-slot-3", "cookie-notice", "article-comments", "related-posts"):
+        assert prior(name) == html_tree.PRIOR_NAMED["around"], name
+    for name in ("post-content", "main", "articleBody", "entry-content"):
+        assert prior(name) == html_tree.PRIOR_NAMED["inside"], name
+    for name in ("no-sidebar", "comment-open", "overflow-hidden", "label", "x7", "", "123"):
+        assert prior(name) == 0, name
+    for name in ("long-form", "elementor-widget", "search-results", "share-of-market"):
+        assert prior(name) == html_tree.PRIOR_NAMED["hint"], name
+    assert html_tree.names_of(' class="a hidden b" hidden') == ("a", "b", "hidden", html_tree.HIDDEN)
+    assert html_tree.names_of(' class="a hidden" data-x="is hidden = no"') == ("a", "hidden")
+    assert html_tree.names_of(" style='color:red; display: none'") == (html_tree.HIDDEN,)
+
+
 def truth(page):
     from html import unescape
     found = re.search(r"<article>(.*?)(</article>|\Z)", page or "", re.S)
