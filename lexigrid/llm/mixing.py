@@ -1,9 +1,10 @@
 """Mixing documents to target weights by iterative proportional fitting, in DataFrame functions only.
 
-Token weights are kept per cell of source, language and topic.  Each round scales the cells to the target shares of
-one margin after the other, then holds every cell at the tokens it has, so that no document is wanted more than
-once; rounds go on until none changes a probability any more.  What a value has too few tokens for is wanted of the
-others.  A cell's fitted weight over its tokens is the probability with which each of its documents is drawn.
+Token weights are kept per cell of source, language and topic.  Each round scales the cells to the target weights of
+one margin after the other, and no cell is drawn from more than once: its weight is its tokens times its scale, held at
+its tokens.  The scales go on beyond 1, so that what settles is the one fit that is nearest to the tokens at hand among
+all that meet the margins.  What a value has too few tokens for is wanted of the others.  A cell's weight over its
+tokens is the probability with which each of its documents is drawn.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ MARGINS = ("source", "lang", "topic")
 # a target share grows as the present share to this power: 1 keeps the share, 0 makes all equal
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 FRACTION = 0.5   # of all tokens that the sample is to have
-ROUNDS = 6         # between two looks at the change
-MOST_ROUNDS = 3000 # without an end by then, it is an error
-TOLERANCE = 1e-4   # largest change of a probability in the last round
+ROUNDS = 4         # between two looks at the change, where all cells fit into one task
+MOST_ROUNDS = 200  # margins that contradict each other never settle; most others take 10 to 40 rounds
+TOLERANCE = 1e-12  # largest change of a probability in the last round
+LARGEST = 1e100    # scale, where margins contradict each other
 SEED = "mix"
 _DIGITS = 9
 
@@ -65,53 +67,74 @@ def tempered_targets(cells: DataFrame, temper: dict[str, float], fraction: float
     out = {}
     for margin, power in temper.items():
         lifted = stored(cells.groupBy(margin).agg(F.sum("tokens").alias("_has"), F.pow(F.sum("tokens") / total, F.lit(power)).alias("_lift")))
-        # values in the order in which they run out as the level rises: a short row for each
-        line = Window.orderBy(F.col("_has") / F.col("_lift"), margin)
-        gone = F.coalesce(F.sum("_has").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        left = F.sum("_lift").over(line.rowsBetween(0, Window.unboundedFollowing))
-        levels = lifted.withColumn("_level", (F.lit(total * fraction) - gone) / left)
-        level = levels.where(F.col("_level") < F.col("_has") / F.col("_lift")).agg(F.max("_level")).first()[0]
-        wanted = F.col("_has") if level is None else F.least(F.col("_has"), F.lit(level) * F.col("_lift"))
-        out[margin] = lifted.select(margin, wanted.alias("target"))
+        # The level at which the values give ``wanted`` together: each step takes those that run out below the last one
+        # as giving all that they have.  Levels only rise, so that no value is taken back, and few steps do.
+        wanted, level, before = total * fraction, 0.0, -1.0
+        while level != before:
+            gone = F.col("_has") <= F.lit(level) * F.col("_lift")
+            sums = lifted.agg(F.sum(F.when(gone, F.col("_has")).otherwise(0.0)).alias("gone"),
+                              F.sum(F.when(gone, 0.0).otherwise(F.col("_lift"))).alias("lift")).first()
+            before, level = level, max(level, (wanted - sums["gone"]) / sums["lift"]) if sums["lift"] else float("inf")
+        out[margin] = lifted.select(margin, F.least(F.col("_has"), F.lit(level) * F.col("_lift")).alias("target"))
     return out
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None) -> DataFrame:
     """The cells with their fitted ``weight``, at most their tokens.
 
-    ``targets`` has (margin, target) for each margin; a value without a target gets weight 0.  Every ROUNDS rounds are
-    written to the shared folder.  Without ``rounds`` they go on until no weight changes by TOLERANCE of its cell's tokens.
-    Margins agree with their targets as far as the tokens at hand allow.
+    ``targets`` has (margin, target) for each margin; a value without a target gets weight 0.  Without ``rounds`` they
+    go on until no weight changes by TOLERANCE of its cell's tokens, or for MOST_ROUNDS.  Margins agree with their
+    targets as far as the tokens at hand allow; where they contradict each other, the last one counts.
     """
-    out = cells.withColumn("weight", F.col("tokens"))
+    out = cells.withColumns({"scale": F.lit(1.0), "_change": F.lit(1.0)})
     for margin, target in targets.items():
-        out = out.join(target.withColumnRenamed("target", f"_want_{margin}"), margin, "left")
+        out = lookup(out, target.withColumnRenamed("target", f"_want_{margin}"), [margin], row_bytes=256)
     out = stored(out, "raked")
-    one_task = small(out, 256)   # few cells need no shuffles
-    done = 0
-    while done < (rounds or MOST_ROUNDS):
-        steps = min(ROUNDS, (rounds or MOST_ROUNDS) - done)
-        out = out.coalesce(1) if one_task else out
-        for _ in range(steps):
-            out = _round(out, list(targets))
+    one_task = small(out, 256)
+    done, most = 0, rounds or MOST_ROUNDS
+    while done < most:
+        if one_task:   # few cells: several rounds in one task, without a shuffle
+            steps = min(ROUNDS, most - done)
+            out = out.coalesce(1)
+            for _ in range(steps):
+                out = _round(out, list(targets))
+        else:          # sums by margin value are added up before they are shuffled
+            steps = 1
+            out = out.withColumn("_before", F.col("scale"))
+            for margin in targets:
+                sums = out.groupBy(margin).agg(*[c.alias(n) for n, c in _sums().items()])
+                out = stored(_scaled(lookup(out, sums, [margin], row_bytes=256), margin), "raked")
+            out = _changed(out)
         out, done = stored(out, "raked"), done + steps
-        if rounds is None:
-            change = out.agg(F.max(F.abs(F.col("weight") - F.col("_before")) / F.col("tokens"))).first()[0]
-            if not change or change < TOLERANCE:
-                break
-    else:
-        if rounds is None:
-            raise RuntimeError(f"raking didn't settle within {MOST_ROUNDS} rounds")
-    return out.select(*cells.columns, "weight")
+        if rounds is None and (out.agg(F.max("_change")).first()[0] or 0.0) < TOLERANCE:
+            break
+    return out.select(*cells.columns, (F.col("tokens") * F.least(F.col("scale"), F.lit(1.0))).alias("weight"))
+
+
+def _sums() -> dict[str, Column]:
+    """Tokens of a margin value's cells that give all they have, and weight of the others."""
+    whole = F.col("scale") >= 1
+    return {"_whole": F.sum(F.when(whole, F.col("tokens")).otherwise(0.0)), "_part": F.sum(F.when(whole, 0.0).otherwise(F.col("tokens") * F.col("scale")))}
+
+
+def _scaled(cells: DataFrame, margin: str) -> DataFrame:
+    """Scales the cells that don't yet give all, so that the margin value reaches its target; all, if that isn't enough."""
+    want, sums = F.coalesce(f"_want_{margin}", F.lit(0.0)), F.col("_whole") + F.col("_part")
+    factor = (F.when((F.col("_part") > 0) & (want > F.col("_whole")), (want - F.col("_whole")) / F.col("_part"))
+              .when(sums > 0, want / sums).otherwise(0.0))
+    return cells.withColumn("scale", F.least(F.col("scale") * factor, F.lit(LARGEST))).drop("_whole", "_part")
+
+
+def _changed(cells: DataFrame) -> DataFrame:
+    held = lambda c: F.least(F.col(c), F.lit(1.0))
+    return cells.withColumn("_change", F.abs(held("scale") - held("_before"))).drop("_before")
 
 
 def _round(cells: DataFrame, margins: list[str]) -> DataFrame:
-    out = cells.withColumn("_before", F.col("weight"))
+    out = cells.withColumn("_before", F.col("scale"))
     for margin in margins:
-        out = out.withColumn("_sum", F.sum("weight").over(Window.partitionBy(margin)))
-        scaled = F.col("weight") * F.coalesce(f"_want_{margin}", F.lit(0.0)) / F.col("_sum")
-        out = out.withColumn("weight", F.when(F.col("_sum") > 0, scaled).otherwise(0.0))
-    return out.withColumn("weight", F.least("weight", "tokens"))
+        out = _scaled(out.withColumns({n: c.over(Window.partitionBy(margin)) for n, c in _sums().items()}), margin)
+    return _changed(out)
 
 
 def probabilities(cells: DataFrame, temper: dict[str, float] | None = None, fraction: float = FRACTION,
@@ -155,31 +178,34 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return joined.where(has_words & (draw(F.col(key)) < F.col(names["probability"]))).select(*docs.columns)
 
 
-def sql(fraction: float = FRACTION, rounds: int = ROUNDS) -> str:
-    """DuckDB SQL for the rows of ``mix`` over documents."""
+def sql(fraction: float = FRACTION) -> str:
+    """DuckDB SQL for the rows of ``mix`` over documents, raking until it settles."""
     cases = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in TOPIC_RULES)
     steps = ["d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, "
              f"CASE {cases} ELSE '{OTHER_TOPIC}' END AS topic, "
              "len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens "
              "FROM (SELECT *, coalesce(text, '') AS t FROM documents))",
-             "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS weight "
-             "FROM d WHERE n_tokens > 0 GROUP BY ALL)"]
+             "c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d WHERE n_tokens > 0 GROUP BY ALL)"]
+    for m in MARGINS:
+        # values in the order in which they run out; the level is the highest of those that each stretch would need
+        steps.append(f"l_{m} AS (SELECT {m}, sum(tokens) AS has, pow(sum(tokens) / (SELECT sum(tokens) FROM c), {TEMPER[m]}) AS lift FROM c GROUP BY {m})")
+        steps.append(f"v_{m} AS (SELECT max((a * {fraction} - gone) / rest) AS level FROM (SELECT (SELECT sum(tokens) FROM c) AS a, coalesce(sum(has) OVER "
+                     f"(ORDER BY has / lift, {m} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone, sum(lift) OVER (ORDER BY has / lift, {m} "
+                     f"ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM l_{m}))")
+        steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, least(has, level * lift) AS target_{m} FROM l_{m}, v_{m})")
+    inner = "(SELECT *, scale AS before FROM it WHERE change >= {t} AND k < {n})".format(t=TOLERANCE, n=MOST_ROUNDS)
     for m in MARGINS:
-        steps.append(f"g_{m} AS MATERIALIZED (SELECT {m}, l / sum(l) OVER () * a * {fraction} AS target FROM (SELECT {m}, "
-                     f"pow(sum(tokens) / (SELECT sum(tokens) FROM c0), {TEMPER[m]}) AS l, (SELECT sum(tokens) FROM c0) AS a "
-                     f"FROM c0 GROUP BY {m}))")
-    last, k = "c0", 0
-    for _ in range(rounds):
-        for m in MARGINS:
-            k += 1
-            steps.append(f"c{k} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, tokens, CASE WHEN s > 0 THEN weight * target / s "
-                         f"ELSE 0 END AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY {m}) AS s FROM {last}) c "
-                         f"JOIN g_{m} USING ({m}))")
-            last = f"c{k}"
-        k += 1
-        steps.append(f"c{k} AS MATERIALIZED (SELECT * REPLACE (least(weight, tokens) AS weight) FROM {last})")
-        last = f"c{k}"
+        sums = (f"(SELECT *, sum(CASE WHEN scale >= 1 THEN tokens ELSE 0 END) OVER (PARTITION BY {m}) AS whole, "
+                f"sum(CASE WHEN scale >= 1 THEN 0 ELSE tokens * scale END) OVER (PARTITION BY {m}) AS part FROM {inner})")
+        inner = (f"(SELECT * EXCLUDE (whole, part) REPLACE (least({LARGEST!r}, scale * CASE WHEN part > 0 AND target_{m} > whole THEN (target_{m} - whole) / part "
+                 f"WHEN whole + part > 0 THEN target_{m} / (whole + part) ELSE 0 END) AS scale) FROM {sums})")
+    steps.append(f"""it(k, source, lang, topic, tokens, target_source, target_lang, target_topic, scale, change) AS (
+SELECT 0, source, lang, topic, tokens, target_source, target_lang, target_topic, 1.0::DOUBLE, 1.0::DOUBLE
+FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)
+UNION ALL SELECT k + 1, source, lang, topic, tokens, target_source, target_lang, target_topic, scale,
+max(abs(least(scale, 1) - least(before, 1))) OVER () FROM {inner})""")
+    steps.append("fit AS MATERIALIZED (SELECT source, lang, topic, round(least(scale, 1), %d) AS probability FROM it WHERE k = (SELECT max(k) FROM it))" % _DIGITS)
     u = f"('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / {float(1 << 48)!r}"
-    return ("WITH " + ",\n".join(steps) + f"\nSELECT *, {u} < probability AS selected FROM (SELECT doc_id, d.source, d.lang, d.topic, "
-            f"n_tokens, CASE WHEN n_tokens > 0 THEN coalesce(round(weight / tokens, {_DIGITS}), 0) ELSE 0 END AS probability "
-            f"FROM d LEFT JOIN {last} USING (source, lang, topic))")
+    return ("WITH RECURSIVE " + ",\n".join(steps) + f"\nSELECT *, {u} < probability AS selected FROM (SELECT doc_id, d.source, d.lang, d.topic, "
+            f"n_tokens, CASE WHEN n_tokens > 0 THEN coalesce(probability, 0) ELSE 0 END AS probability "
+            f"FROM d LEFT JOIN fit USING (source, lang, topic))")

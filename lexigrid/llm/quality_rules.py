@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import free_name, lookup, words
+from lexigrid.llm.common import lookup, words
 from lexigrid.session import cut_lineage
 
 # Fixed lists: frequent function words of each language; the last bin of a histogram is every other word.
@@ -99,10 +99,10 @@ def _share(counts: Column | str) -> Column:
 
 
 def divergence(p: str, q: str) -> Column:
-    """Jensen-Shannon distance (base 2, from 0 to 1, six places) of two histograms of shares; null if one is missing."""
+    """Jensen-Shannon distance (base 2, from 0 to 1) of two histograms of shares; null if one is missing."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     terms = F.zip_with(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
-    return F.round(F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2)), 6)
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
 def references(measured: DataFrame) -> DataFrame:
@@ -114,37 +114,48 @@ def references(measured: DataFrame) -> DataFrame:
     return out.withColumn("_common_ref", F.filter("_common_ref", lambda x: x.isNotNull()))
 
 
-def judge(docs: DataFrame, key: str | None = "doc_id", text: str = "text", lang: str = "lang",
-          row: Column | None = None) -> DataFrame:
-    """Per row its key, base counts, base_failed, both distances (null under their guard) and kept.
-
-    Null and empty texts have no words and fail the base rule.  A null language is a language of its own; one
-    without a list of common words is judged by its character classes only.  Repeated rows are judged alike; an
-    empty table gives no rows; columns of other names are not read.
-    """
-    keep = {key: F.col(key)} if key else {}
-    if row is not None:
-        keep["_row"] = row
-    base = measure(docs, text, lang, keep)
+def _based(docs: DataFrame, text: str, lang: str, keep: dict[str, Column]) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    measured = cut_lineage(base.withColumn("base_failed", failed))  # a few dozen numbers a row
-    joined = lookup(measured, references(measured), ["_lang"], row_bytes=512)
+    return measure(docs, text, lang, keep).withColumn("base_failed", failed)
+
+
+def _judged(measured: DataFrame, refs: DataFrame, keep: dict[str, Column]) -> DataFrame:
+    """``keep`` columns, counts, distances (six places) and verdict of measured rows."""
+    joined = lookup(measured, refs, ["_lang"], row_bytes=512)
     chars = F.aggregate("_class", F.lit(0.0), lambda s, x: s + x)  # null where there is no text
     out = joined.select(
         *keep, *_COUNTS, "base_failed",
-        F.when(chars.isNotNull() & (F.col("word_chars") >= MIN_CLASS_CHARS), divergence("_class", "_class_ref")).alias("class_distance"),
-        F.when(F.col("n_words") >= MIN_COMMON_WORDS, divergence("_common", "_common_ref")).alias("common_distance"))
+        F.when(chars.isNotNull() & (F.col("word_chars") >= MIN_CLASS_CHARS), F.round(divergence("_class", "_class_ref"), 6)).alias("class_distance"),
+        F.when(F.col("n_words") >= MIN_COMMON_WORDS, F.round(divergence("_common", "_common_ref"), 6)).alias("common_distance"))
     far = ((F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE)
            | (F.coalesce("common_distance", F.lit(0.0)) > MAX_COMMON_DISTANCE))
     return out.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Per row its key, base counts, base_failed, both distances (null under their guard) and kept.
+
+    Null and empty texts have no words and fail the base rule.  A null language is a language of its own; one
+    without a list of common words is judged by its character classes only.  Repeated rows are judged alike; an
+    empty table gives no rows; columns of other names are not read.
+    """
+    keep = {key: F.col(key)}
+    measured = cut_lineage(_based(docs, text, lang, keep))  # a few dozen numbers a row
+    return _judged(measured, references(measured), keep)
+
+
 def keep_sound(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows that the rules keep, with the input's columns; rows equal in all columns share their fate."""
-    mark = free_name(docs, "_row_hash")
-    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
-    rejected = judge(docs, None, text, lang, F.xxhash64(*plain)).where(~F.col("kept")).select(F.col("_row").alias(mark)).distinct()
-    return docs.withColumn(mark, F.xxhash64(*plain)).join(rejected, mark, "left_anti").drop(mark)
+    """The rows that the rules keep, with the input's columns.
+
+    Each row is judged where it is, by references that a first pass has gathered; texts are not shuffled while the
+    references fit into a broadcast.
+    """
+    measured = cut_lineage(_based(docs, text, lang, {}))   # a few dozen numbers a row
+    refs = cut_lineage(references(measured))               # a row for each language
+    held = {f"_in_{k}": F.col(c) for k, c in enumerate(docs.columns)}
+    # a condition that the optimizer can't take apart: it would copy the window counts into filters below each step
+    sound = _judged(_based(docs, text, lang, held), refs, held).where(F.greatest((~F.col("kept")).cast("int"), F.lit(0)) == 0)
+    return sound.select(*[F.col(h).alias(c) for h, c in zip(held, docs.columns)])
 
 
 def sql() -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrid.llm.common import free_name, short_batches
+from lexigrid.llm.common import free_name, short_batches, small
 from lexigrid.operators.components import connected_components
 from lexigrid.session import cut_lineage
 
@@ -160,10 +160,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each near-duplicate group: the smallest key (nulls last), then the smallest row hash.
 
-    Returns the input's columns.  Of rows equal in all columns one stays.
+    Returns the input's columns.  Of rows equal in all columns one stays.  What is joined to the texts is the list of
+    the rows to drop, so they aren't shuffled while that list fits into a broadcast; only rows that occur twice are.
     """
     short_batches(docs)
-    row_hash, keep_key = free_name(docs, "_row_hash"), free_name(docs, "_keep_key")
+    row_hash, own_key = free_name(docs, "_row_hash"), free_name(docs, "_own_key")
     plain = [c for c, kind in docs.dtypes if "map<" not in kind]
     hashed = docs.withColumn(row_hash, F.xxhash64(*plain))
     rows = cut_lineage(hashed.select(F.col(key).alias("key"), F.col(row_hash).alias("row"),
@@ -173,6 +174,19 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     first = (rows.join(parts, "fp")
              .groupBy("part", F.when(F.col("part").isNull(), F.col("fp")).alias("alone"))
              .agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("m"))
-             .select(F.col("m.key").alias(keep_key), F.col("m.row").alias(row_hash)).distinct())
-    kept = hashed.join(first, (hashed[row_hash] == first[row_hash]) & hashed[key].eqNullSafe(first[keep_key]), "left_semi")
-    return kept.dropDuplicates([row_hash, key]).select(*docs.columns)
+             .select(F.col("m.key").alias(own_key), F.col("m.row").alias(row_hash)).distinct())
+    times = rows.groupBy(F.col("key").alias("k"), F.col("row").alias("r")).agg(F.count("*").alias("n"))
+    told = times.join(first, (times["r"] == first[row_hash]) & times["k"].eqNullSafe(first[own_key]), "left")
+    told = cut_lineage(told.select(F.col("k").alias(own_key), F.col("r").alias(row_hash), "n", first[row_hash].isNotNull().alias("first"))
+                       .where("not first or n > 1"))
+
+    def among(texts: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+        side = listed.select(F.col(own_key), F.col(row_hash).alias("_r"))
+        side = F.broadcast(side) if small(side, 64) else side
+        return texts.join(side, (texts[row_hash] == side["_r"]) & texts[key].eqNullSafe(side[own_key]), how)
+
+    kept = among(hashed, told, "left_anti")    # rows that occur once and are the first of their group
+    twins = told.where("first")
+    if not twins.isEmpty():
+        kept = kept.unionByName(among(hashed, twins, "left_semi").dropDuplicates([row_hash, key]))
+    return kept.select(*docs.columns)

@@ -342,6 +342,55 @@ def test_raking_settles_with_a_hot_source(spark):
     assert len(got) == len(held) and ((got["probability"] - got["weight"] / got["tokens"]).abs() < 0.01).all()
 
 
+def plain_fit(cells, targets, rounds=20000):
+    """One multiplicative step after the other, in NumPy: slow, but it has one limit."""
+    tokens = cells["tokens"].to_numpy()
+    scale = np.ones(len(cells))
+    codes = {m: cells[m].astype("category").cat for m in targets}
+    want = {m: np.array([targets[m][v] for v in codes[m].categories]) for m in targets}
+    for _ in range(rounds):
+        for m in targets:
+            at = codes[m].codes.to_numpy()
+            scale *= (want[m] / np.bincount(at, tokens * np.minimum(scale, 1), len(want[m])))[at]
+    return np.minimum(scale, 1)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_raking_reaches_the_fixed_point(spark, hot):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    if hot:
+        docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")))
+    cells = mixing.stored(mixing.cells_of(mixing.describe(docs, F.col("doc_id"))))
+    targets = mixing.tempered_targets(cells, mixing.TEMPER, mixing.FRACTION)
+    got = mixing.probabilities(cells).toPandas().merge(cells.toPandas(), on=list(mixing.MARGINS))
+    wanted = {m: {r[m]: r["target"] for r in t.collect()} for m, t in targets.items()}
+    assert (got["probability"] - plain_fit(got, wanted)).abs().max() < 1e-6
+    for m, want in wanted.items():
+        for value, weight in (got["probability"] * got["tokens"]).groupby(got[m]).sum().items():
+            assert abs(weight - want[value]) < 1e-6 * want[value]
+
+
+def test_raking_alike_when_cells_are_many(spark, monkeypatch):
+    """The way for cells that don't fit into one task gives the same weights; ties, single values and contradictions end."""
+    rng = np.random.default_rng(8)
+    cells = spark.createDataFrame([(s, x, "only", float(rng.integers(1, 50))) for s in "abcdef" for x in "xyz" if rng.random() < 0.8] + [("lone", "x", "only", 7.0)],
+                                  "source string, lang string, topic string, tokens double")
+    even = spark.createDataFrame([(s, x, "t", 10.0) for s in "ab" for x in "xy"], cells.schema)
+    clash = spark.createDataFrame([("a", "x", "t", 10.0), ("b", "y", "t", 10.0)], cells.schema)
+    wanted = {"source": spark.createDataFrame([("a", 9.0), ("b", 1.0)], "source string, target double"),
+              "lang": spark.createDataFrame([("x", 1.0), ("y", 9.0)], "lang string, target double")}
+    assert all(abs(r["probability"] - 0.6) < 1e-9 for r in mixing.probabilities(even, mixing.TEMPER, 0.6).collect())
+    targets = mixing.tempered_targets(cells, {"source": 0.5, "lang": 0.7}, 0.6)
+    both = []
+    for few in (True, False):
+        if not few:
+            monkeypatch.setattr(mixing, "small", lambda df, width: False)
+        fitted = mixing.rake(cells, targets, 2), mixing.rake(clash, wanted, 1)
+        both.append([sorted(tuple(r) for r in f.collect()) for f in fitted])
+    for a, b in zip(*both):
+        assert len(a) == len(b) > 0 and all(x[:3] == y[:3] and abs(x[-1] - y[-1]) < 1e-9 for x, y in zip(a, b))
+
+
 def test_sample_follows_the_probabilities(spark, documents):
     mixed = mixing.mix(documents).toPandas()
     chosen = {r["doc_id"] for r in mixing.sample(documents).collect()}
@@ -502,6 +551,21 @@ def test_pipeline_stages(spark, documents):
     assert {r["doc_id"] for r in last} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert len(rows) <= docs.count()
+    text = "The cat and the dog of house {0} went to the market for the day, and they were happy to be there with all of us and {0}."
+    rows = [(k, text.format(f"number{k}"), "en", "s", 100, "x") for k in range(40)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp string")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality rules"](spark, stages["language ID"](spark, docs, ""), "")
+    assert kept.count() == 80 and kept.columns == docs.columns
+    assert 0 < stages["near duplicates"](spark, kept, "").count() <= 40
+
+
 def test_language_stage_keeps_clean_documents(spark):
     import corpus_pipeline
     folder = "/root/testdata/sf0.01"

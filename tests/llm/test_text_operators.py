@@ -8,6 +8,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -200,6 +201,26 @@ def test_rules_keep_the_table_s_columns(odd):
     assert quality_rules.keep_sound(odd.limit(0)).count() == 0
 
 
+def test_rules_keep_what_they_judge_sound(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    twice = docs.unionByName(docs.where("doc_id % 5 = 0")).withColumns({"_lang": F.lit("x"), "kept": F.lit(False), "n_words": F.col("doc_id")})
+    sound = sorted(r["doc_id"] for r in quality_rules.judge(twice).where("kept").collect())
+    kept = quality_rules.keep_sound(twice)
+    assert kept.columns == twice.columns and 0 < len(sound) < twice.count()
+    assert sorted(r["doc_id"] for r in kept.collect()) == sound
+    assert kept.exceptAll(twice).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0")).withColumn("own_key", F.lit(1))
+    named = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    kept = simhash.keep_one(twice)
+    assert kept.columns == twice.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(named.values()))
+    assert kept.exceptAll(twice).count() == 0
+
+
 def simple_backoff(texts, order):
     words = [WORD.findall(lowered(t)) for t in texts]
     own = [[collections.Counter(tuple(w[k - n + 1 : k + 1]) for k in range(n - 1, len(w))) for n in range(1, order + 1)] for w in words]
