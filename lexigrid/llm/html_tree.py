@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -131,9 +130,19 @@ def names_of(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(names))
 
 
-@lru_cache(maxsize=1 << 16)
+_priors: dict[str, float] = {}
+
+
 def prior_of(name: str) -> float:
     """Log-odds of a name before any page is seen, by the words it is made of."""
+    if name not in _priors:
+        if len(_priors) > 20_000:
+            _priors.clear()
+        _priors[name] = _prior_of(name)
+    return _priors[name]
+
+
+def _prior_of(name: str) -> float:
     if name == HIDDEN:
         return PRIOR_NAMED["around"]
     words = [w.lower() for w in _WORD.findall(name)]
