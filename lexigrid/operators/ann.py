@@ -48,6 +48,70 @@ def cell_search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: str, co
             .where(F.col("rank") <= k))
 
 
+def certified_search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: str, corpus_key: str, n_cells: int | None = None,
+                     width: int = N_LOOK, vec: str = "vec", same_keys: bool = False) -> DataFrame:
+    """Exact ``k`` nearest by cells: probe_key, corpus_key, score, rank, and cells_read (of each probe).
+
+    No row of a cell is nearer to a probe than the angle to its centre less the cell's widest angle.  A probe looks into
+    the cells in the order of that bound, in rounds that double, and is done once the next bound is under its k-th score.
+    Keys are unique; vectors have one width.
+    """
+    corpus = cut_lineage(corpus.select(corpus_key, vec).where(F.col(vec).isNotNull()))
+    centres = _fit(corpus, corpus_key, vec, n_cells)
+    table = pa.table({"cell": pa.array(range(len(centres)), pa.int32()), vec: pa.array(list(centres), pa.list_(pa.float64()))})
+    placed = similarity.nearest(corpus, corpus.sparkSession.createDataFrame(table), 1, [corpus_key], "cell", vec).drop("score", "rank")
+    sent = corpus.sparkSession.sparkContext.broadcast(centres)   # sqrt(n) of them, bounded by the sample
+    unit = similarity.matrix_of
+
+    @F.arrow_udf("double")
+    def angle(vecs: pa.Array, cell: pa.Array) -> pa.Array:
+        x = unit(vecs)
+        out = np.arccos(np.clip((x * sent.value[np.asarray(cell)]).sum(axis=1), -1, 1)) if len(x) else np.zeros(0)
+        return pa.array(np.where((x * x).sum(axis=1) > 0, out, np.pi) if len(x) else out)   # a zero vector has no angle
+
+    placed = cut_lineage(placed.withColumn("_angle", angle(vec, "cell")))
+    held = placed.groupBy("cell").agg(F.max("_angle").alias("r")).toArrow()                  # a row for each cell
+    radii = corpus.sparkSession.sparkContext.broadcast((np.asarray(held.column("cell")), np.asarray(held.column("r"))))
+
+    @F.arrow_udf("array<struct<cell:int,bound:double>>")
+    def order(vecs: pa.Array) -> pa.Array:
+        cells, widest = radii.value
+        out = []
+        for v in unit(vecs) if len(cells) else np.zeros((len(vecs), 0)):
+            bound = np.full(len(cells), 1.0)
+            if v.any():
+                bound = np.cos(np.maximum(np.arccos(np.clip(sent.value[cells] @ v, -1, 1)) - widest, 0)) + 1e-6   # scores have six places
+            out.append([{"cell": int(cells[c]), "bound": float(bound[c])} for c in np.argsort(-bound, kind="stable")])
+        return pa.array(out, pa.list_(pa.struct([("cell", pa.int32()), ("bound", pa.float64())])))
+
+    asked = cut_lineage(probes.select(probe_key, vec).where(F.col(vec).isNotNull()).withColumn("_order", order(vec)))
+    best = counts = None
+    start = 0
+    open_ = asked.withColumn("_floor", F.lit(-2.0))
+    w = Window.partitionBy(probe_key).orderBy(F.desc("score"), F.asc(corpus_key))
+    while not open_.isEmpty():
+        step = F.filter(F.slice("_order", start + 1, width), lambda c: c["bound"] >= F.col("_floor"))
+        looks = cut_lineage(open_.select(probe_key, vec, F.explode(step).alias("c")).select(probe_key, vec, "c.cell"))
+        found = similarity.cross_blocks(looks, placed.drop("_angle"), k + same_keys, [probe_key], corpus_key, [], ["cell"], vec, "score", "rank")
+        found = found.select(probe_key, corpus_key, "score")
+        if same_keys:
+            found = found.where(F.col(probe_key) != F.col(corpus_key))
+        read = looks.groupBy(probe_key).agg(F.count("*").alias("_n"))
+        if best is not None:
+            found = best.select(probe_key, corpus_key, "score").unionByName(found)
+            read = counts.unionByName(read).groupBy(probe_key).agg(F.sum("_n").alias("_n"))
+        best = cut_lineage(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+        counts = cut_lineage(read)
+        start, width = start + width, 2 * width
+        floors = best.where(F.col("rank") == k).select(probe_key, F.col("score").alias("_floor"))
+        open_ = (asked.where(F.size("_order") > start).join(floors, probe_key, "left").withColumn("_floor", F.coalesce("_floor", F.lit(-2.0)))
+                 .where(F.element_at("_order", F.lit(start + 1))["bound"] >= F.col("_floor")))
+    if best is None:
+        return (asked.select(probe_key).join(corpus.select(F.col(corpus_key)), F.lit(False))
+                .withColumns({"score": F.lit(0.0), "rank": F.lit(1), "cells_read": F.lit(0).cast("long")}))
+    return best.join(counts, probe_key).select(probe_key, corpus_key, "score", "rank", F.col("_n").alias("cells_read"))
+
+
 def _drawn(rows: DataFrame, key: str, vec: str, n: int) -> DataFrame:
     """``n`` rows in the order of a hash of their key."""
     return rows.orderBy(F.md5(F.col(key).cast("string")), key, vec).limit(n)

@@ -100,12 +100,15 @@ def component_labels(spark, d):
     return similarity.nearest(middle, mean_vector(emb, ["label"]), 1, ["cluster_id"], "label").drop("vec", "rank")
 
 
-@query(c.with_(c.EMB, """centre AS (SELECT vec_id AS cell, vec, nrm FROM emb ORDER BY md5(vec_id::VARCHAR), vec_id
- LIMIT (SELECT ceil(sqrt(count(*)))::BIGINT FROM emb))""",
-               f"near AS (SELECT e.vec_id, cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY {c.cosine('e', 'x')} DESC, cell) AS place FROM emb e, centre x)",
-               f"seen AS (SELECT p.vec_id AS probe_id, o.vec_id FROM near p JOIN near o USING (cell) WHERE p.place <= {ann.N_LOOK} AND o.place = 1 AND p.vec_id <> o.vec_id)",
-               f"scored AS (SELECT probe_id, seen.vec_id, {c.cosine('a', 'b')} AS score FROM seen JOIN emb a ON a.vec_id = probe_id JOIN emb b ON b.vec_id = seen.vec_id)") + """
+@query(c.with_(c.EMB, f"scored AS (SELECT a.vec_id AS probe_id, b.vec_id, {c.cosine('a', 'b')} AS score FROM emb a JOIN emb b ON a.vec_id <> b.vec_id)") + """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 3""")
+def knn_certified(spark, d):
+    """Exactly the three nearest other embeddings, from the cells that may hold them."""
+    emb = t.embeddings(spark, d).select("vec_id", "vec")
+    return ann.certified_search(emb, emb.withColumnRenamed("vec_id", "probe_id"), 3, "probe_id", "vec_id", same_keys=True).drop("cells_read")
+
+
+@query()
 def ann_join(spark, d):
     """Approximate: the three nearest other embeddings found in the nearest cells."""
     emb = t.embeddings(spark, d).select("vec_id", "vec")

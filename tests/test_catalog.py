@@ -215,7 +215,22 @@ def test_homonyms_and_alternate_names(spark):
     assert found[("Paris", "USA")] == (1, 2, 1.0, 2) and found[("Paris", "USA > Ohio")] == (1, 3, 1.0, 1)
     assert found[("PARIS", "France")] == (1, 1, 1.0, 1) and found[("Paris", "Spain")] == (1, 1, 0.8, 3)
     assert found[("Lutetia", "France")] == (1, 1, 1.0, 1) and found[("City of Lyon", "France")] == (2, 4, 0.95, 1)
-    assert found[("Lyyon", "France")][:2] == (3, 4) and ("Xyz", "Spain") not in found
+    assert found[("Lyyon", "France")][:2] == (3, 4)
+    # no place is in Spain: the nearest of all, with what a match elsewhere keeps of its confidence
+    number, place, sure, n = found[("Xyz", "Spain")]
+    assert number == 4 and place in (1, 2, 3, 4) and 0 <= sure <= places.ELSEWHERE and n == 1
+
+
+def test_every_name_asked_gets_a_row(spark):
+    pl = spark.createDataFrame([(1, "Paris", "France > Paris"), (4, "Lyon", "France > Lyon")], "geonameid int, place_name string, full_path string")
+    rows = spark.createDataFrame([("Paris", None), ("Lyyon", None), ("Lyyon", "Frnce"), (None, "France"), (None, None), ("Paris", "France"), ("Paris", "France")],
+                                 "name string, at string")
+    found = {(r.name, r.context): (r.pass_no, r.geonameid, r.band) for r in places.resolve(rows, "name", F.col("at"), pl).collect()}
+    assert len(found) == rows.distinct().count() == places.resolve(rows, "name", F.col("at"), pl).count()
+    assert found[("Paris", None)][:2] == (1, 1) and found[("Lyyon", None)][:2] == (4, 4) and found[("Lyyon", "Frnce")][:2] == (4, 4)
+    assert found[(None, "France")] == found[(None, None)] == (None, None, "unresolved")
+    nowhere = places.resolve(rows, "name", F.col("at"), pl.limit(0)).collect()
+    assert len(nowhere) == 6 and all(r.band == "unresolved" for r in nowhere)
 
 
 def test_evaluation_keeps_symbols_apart_by_domain(spark):

@@ -267,3 +267,26 @@ def test_looks_grow_with_the_number_of_cells(spark):
         found = ann.cell_search(df, probes, 5, "pid", "id", same_keys=True).collect()
         best = {i: set(np.argsort(-sims[i], kind="stable")[:5].tolist()) for i in range(0, rows, 10)}
         assert sum(r.id in best[r.pid] for r in found) >= 0.9 * 5 * len(best)
+
+
+def test_certified_search_is_exact_and_reads_few_cells(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 8))
+    rows = [(k, (centres[k % 20] + 0.05 * rng.normal(size=8)).tolist()) for k in range(600)] + [(600 + k, [0.0] * 8) for k in range(3)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    probes = df.where("id % 20 = 1 or id >= 600").withColumnRenamed("id", "pid")
+    found = ann.certified_search(df, probes, 4, "pid", "id", n_cells=24, width=2, same_keys=True).collect()
+    x = np.array([v for _, v in rows])
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+    scores = np.round(x @ x.T, 6)
+    want = {}
+    for p in (r.pid for r in probes.collect()):
+        order = sorted((k for k in range(len(rows)) if k != p), key=lambda k: (-scores[p, k], k))[:4]
+        want[p] = [(k, float(scores[p, k])) for k in order]
+    got = {}
+    for r in sorted(found, key=lambda r: (r.pid, r.rank)):
+        got.setdefault(r.pid, []).append((r.id, r.score))
+    assert {p: [k for k, _ in v] for p, v in got.items()} == {p: [k for k, _ in v] for p, v in want.items()}
+    assert all(abs(a - b) < 1e-6 for p in want for (_, a), (_, b) in zip(got[p], want[p]))
+    assert np.mean([r.cells_read for r in found if r.pid < 600]) < 8
+    assert ann.certified_search(df.limit(0), probes, 4, "pid", "id").count() == 0
