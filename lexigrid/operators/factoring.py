@@ -126,6 +126,43 @@ def unpivot_recipe(columns: DataFrame, table: list[str], name: str, taxonomy: Da
     return rows.select(*table, "cluster_id", "category", F.round("score", 4).alias("score"), recipe.alias("unpivot_recipe"))
 
 
+RECIPE = "category_name string, instance_columns array<string>, pivot_columns array<string>"
+
+
+def read_recipes(recipes: DataFrame, table: list[str], recipe: str = "unpivot_recipe") -> DataFrame:
+    """The recipes of ``unpivot_recipe`` read from their JSON: table, cluster_id, category, instances, pivots, problem.
+
+    ``problem`` tells what is wrong with a recipe (null: nothing), which is kept but not applied.  Fields other than the three
+    used may be absent; a recipe without pivot columns has none.
+    """
+    read = recipes.select(*table, "cluster_id", F.from_json(recipe, RECIPE).alias("_r"), F.col(recipe).isNull().alias("_none"))
+    problem = (F.when(F.col("_none"), "no recipe").when(F.col("_r.category_name").isNull() & F.col("_r.instance_columns").isNull(), "not a recipe")
+               .when(F.col("_r.category_name").isNull(), "no category").when(F.coalesce(F.size("_r.instance_columns"), F.lit(0)) < 1, "no instance columns"))
+    none = F.expr("cast(array() as array<string>)")
+    return read.select(*table, "cluster_id", F.col("_r.category_name").alias("category"), F.array_distinct(F.coalesce("_r.instance_columns", none)).alias("instances"),
+                       F.array_distinct(F.coalesce("_r.pivot_columns", none)).alias("pivots"), problem.alias("problem"))
+
+
+def apply_recipes(wide: DataFrame, recipes: DataFrame, table: list[str], row: list[str], cells: str = "cells") -> DataFrame:
+    """Wide rows of any number of tables made long, each by the recipes of its own table.
+
+    ``cells`` is a VARIANT object or a map from column name to VARIANT, so tables of any columns share one frame and a value keeps
+    its type.  A row gives one row per instance column that it has: table, row, cluster_id, category (of the recipe), instance (the column), quantity
+    (VARIANT) and pivots (map of the cells that stay as they are).  An absent cell gives no row, a null one a row with null.
+    Tables without a recipe, rows without cells and recipes with a problem give none.  Recipes are few against rows: they are broadcast when counted small, else
+    the rows of a table are salted; cells are never shuffled by name.
+    """
+    usable = recipes.where(F.col("problem").isNull()).groupBy(*table).agg(
+        F.collect_list(F.struct("cluster_id", "category", "instances", "pivots")).alias("_recipes"))
+    held = F.col(cells).cast("map<string,variant>").alias("_cells")
+    met = similarity.join_groups(wide.select(*table, *row, held), usable, table)
+    each = met.select(*table, *row, "_cells", F.explode("_recipes").alias("_r"))
+    present = F.expr("transform(filter(_r.instances, c -> map_contains_key(_cells, c)), c -> struct(c as instance, _cells[c] as quantity))")
+    stay = F.expr("map_from_entries(transform(filter(_r.pivots, c -> map_contains_key(_cells, c)), c -> struct(c, _cells[c])))")
+    long = each.select(*table, *row, F.col("_r.cluster_id").alias("cluster_id"), F.col("_r.category").alias("category"), stay.alias("pivots"), F.explode(present).alias("_c"))
+    return long.select(*table, *row, "cluster_id", "category", F.col("_c.instance").alias("instance"), F.col("_c.quantity").alias("quantity"), "pivots")
+
+
 def unpivot_years(wide: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
     """A wide table's year columns as rows: ids, measure, year, value."""
     long = wide.unpivot(ids, values, "_name", "value")

@@ -271,7 +271,7 @@ def suffix_stems(spark, d):
 _RECIPE_EDGE = 0.7
 
 
-@query("WITH RECURSIVE " + _NAMES + ",\n" + ",\n".join([
+_RECIPE_CTES = "WITH RECURSIVE " + _NAMES + ",\n" + ",\n".join([
     "un AS (SELECT DISTINCT field_name FROM names)", c.encoded("ne", "un", "field_name", "field_name"),
     "nv AS (SELECT * FROM names JOIN ne USING (field_name))",
     "types AS (SELECT DISTINCT lower(p_type) AS category, p_type || ' parts' AS hypernym FROM part)",
@@ -287,7 +287,10 @@ _RECIPE_EDGE = 0.7
  QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, category) = 1)""",
     "inst AS (SELECT domain, resource_id, cluster_id, list(field_name ORDER BY field_name) AS ins FROM comp GROUP BY ALL)",
     """piv AS (SELECT domain, resource_id, list(field_name ORDER BY field_name) AS pv FROM names n
- WHERE NOT EXISTS (SELECT 1 FROM comp WHERE comp.domain = n.domain AND comp.resource_id = n.resource_id AND comp.field_name = n.field_name) GROUP BY ALL)"""]) + """
+ WHERE NOT EXISTS (SELECT 1 FROM comp WHERE comp.domain = n.domain AND comp.resource_id = n.resource_id AND comp.field_name = n.field_name) GROUP BY ALL)"""])
+
+
+@query(_RECIPE_CTES + """
 SELECT domain, resource_id, cluster_id, category, round(score, 4) AS score, '{"category_name":"' || category || '","category_hypernym":"' || hypernym ||
  '","confidence":' || round(score, 4) || ',"instance_columns":["' || array_to_string(ins, '","') || '"],"pivot_columns":[' ||
  CASE WHEN pv IS NULL THEN '' ELSE '"' || array_to_string(pv, '","') || '"' END || '],"suggested_schema":["' ||
@@ -316,3 +319,29 @@ def unpivot_apply(spark, d):
     wide = wide.toDF(*ids, *[f"cy_{c}" for c in wide.columns[2:]])
     long = factoring.unpivot_years(wide, ids, wide.columns[2:])
     return long.withColumn("value", F.round("value", 2))
+
+
+@query(_RECIPE_CTES + """, cell AS (SELECT domain, resource_id, line, field_name, CASE WHEN is_text THEN max(mode) ELSE count(*)::VARCHAR END AS v, is_text FROM (
+  SELECT l_linestatus AS domain, l_returnflag AS resource_id, l_linenumber AS line, p_name AS mode, unnest(['cy_' || year(l_shipdate) || '_' || lower(p_type),
+   lower(replace(p_brand, '#', '_'))]) AS field_name, unnest([false, true]) AS is_text FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE field_name IS NOT NULL
+  GROUP BY domain, resource_id, line, field_name, is_text),
+ stay AS (SELECT domain, resource_id, line, md5(string_agg(field_name || '=' || v, ';' ORDER BY field_name)) AS pivots FROM cell JOIN
+  (SELECT domain, resource_id, unnest(pv) AS field_name FROM piv) USING (domain, resource_id, field_name) GROUP BY ALL)
+SELECT cell.domain, cell.resource_id, line, cluster_id, category, field_name AS instance, CASE WHEN is_text THEN 'STRING' ELSE 'BIGINT' END AS kind, v AS quantity,
+ coalesce(pivots, md5('')) AS pivots FROM cell JOIN comp USING (domain, resource_id, field_name) JOIN best ON k = cell.domain || '|' || cell.resource_id || '|' || cluster_id
+ LEFT JOIN stay USING (domain, resource_id, line)""")
+def recipe_apply(spark, d):
+    """Yearly reports, a wide row per line number with numbers and texts, made long by the recipes found for them."""
+    part = t.table(spark, d, "part").select("p_partkey", F.lower("p_type").alias("t"), F.lower(F.regexp_replace("p_brand", "#", "_")).alias("brand"), "p_name")
+    line = t.table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    row = [F.col("l_linestatus").alias("domain"), F.col("l_returnflag").alias("resource_id"), F.col("l_linenumber").alias("line")]
+    yearly = F.concat(F.lit("cy_"), F.year("l_shipdate").cast("string"), F.lit("_"), "t")
+    counted = line.groupBy(*row, yearly.alias("name")).agg(F.count("*").cast("variant").alias("v"))
+    texts = line.groupBy(*row, F.col("brand").alias("name")).agg(F.max("p_name").cast("variant").alias("v"))
+    cells = counted.unionByName(texts).where(F.col("name").isNotNull())
+    # as many cells as a table has columns: part types by years, and brands
+    wide = cells.groupBy("domain", "resource_id", "line").agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("cells"))
+    long = factoring.apply_recipes(wide, factoring.read_recipes(unpivot_recipe(spark, d), TABLE), TABLE, ["line"])
+    kept = F.array_sort(F.transform(F.map_entries("pivots"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    return long.select(*TABLE, "line", "cluster_id", "category", "instance", F.schema_of_variant("quantity").alias("kind"),
+                       F.col("quantity").cast("string").alias("quantity"), F.md5(F.array_join(kept, ";")).alias("pivots"))

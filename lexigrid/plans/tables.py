@@ -135,6 +135,21 @@ def city_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
 
 
+def misspelt_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as rows to resolve level by level: many names with a letter lost, wrong or too many, some of no place, some null."""
+    c, n, r = table(spark, folder, "customer"), table(spark, folder, "nation"), table(spark, folder, "region")
+    key, rows = F.col("c_custkey"), c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    lost = lambda x: F.concat(F.substr(x, F.lit(1), F.lit(1)), F.substr(x, F.lit(3)))
+    wrong = lambda x: F.concat(F.substr(x, F.lit(1), F.lit(1)), F.lit("x"), F.substr(x, F.lit(3)))
+    segment = F.concat("c_mktsegment", F.when(key % 5 == 2, "x ").otherwise(" "), F.col("n_nationkey").cast("string"))
+    return rows.select(
+        F.when(key % 11 == 0, "Atlantis").when(key % 3 == 0, lost(F.col("r_name"))).otherwise(F.lower("r_name")).alias("country"),
+        F.when(key % 4 == 1, wrong(F.col("n_name"))).otherwise(F.col("n_name")).alias("admin1"),
+        F.when(key % 13 != 0, segment).alias("admin2"),
+        F.when(key % 3 == 1, F.replace("c_name", F.lit("stom"), F.lit("stm"))).when(key % 3 == 2, F.replace("c_name", F.lit("Cu"), F.lit("Cvv")))
+        .otherwise(F.col("c_name")).alias("city"))
+
+
 def measure_names(spark: SparkSession, folder: str) -> DataFrame:
     """Column names of a yearly report, one table per return flag and line status.
 

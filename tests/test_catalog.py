@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrid.operators import catalog, encode, evaluate, factoring, places, profile, ranking, sets
+from lexigrid.operators import catalog, encode, evaluate, factoring, fuzzy, places, profile, ranking, sets
 from lexigrid.sources import files, tables
 
 
@@ -323,3 +323,76 @@ def test_append_and_backfill(spark, tmp_path):
     got = spark.read.parquet(path)
     assert sorted(tuple(r) for r in got.collect()) == [("a", 1), ("b", 2)]
     assert sorted(r.w for r in tables.backfill(got, "w", F.upper("k")).collect()) == ["A", "B"]
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_nearest_terms_misses_no_pair(spark):
+    draw = random.Random(5)
+    terms = {"".join(draw.choice("abc") for _ in range(n)) for n in [1, 2, 3, 4, 5, 6, 8, 12, 20, 22, 23, 24, 25, 26, 27, 30, 45] for _ in range(4)}
+    asked = {"", "ab", "zzzzzz"}
+    for term in sorted(terms):
+        for edits in (0, 1, 2, 3):
+            name = term
+            for _ in range(edits):
+                at = draw.randrange(len(name) + 1)
+                name = name[:at] + draw.choice(["", "a", "ab"]) + name[at + draw.choice([0, 1]):]
+            asked.add(name)
+    known = spark.createDataFrame([("g", x) for x in sorted(terms)] + [("h", "zzzzzz"), (None, "ab"), ("g", None)], "g string, term string")
+    rows = spark.createDataFrame([("g", x) for x in sorted(asked)] * 2 + [("g", None), (None, "ab"), ("other", "ab")], "g string, name string")
+    got = {(r["g"], r["name"]): (r["term"], r["distance"], r["n_terms"]) for r in fuzzy.nearest_terms(rows, "name", known, "term", ["g"]).collect()}
+    want = {}
+    for name in asked:
+        reach = 0 if len(name) < 3 else 1 if len(name) < 6 else 2
+        near = sorted((_edits(name, x), x) for x in terms if _edits(name, x) <= reach)
+        if near:
+            want["g", name] = (near[0][1], near[0][0], sum(d == near[0][0] for d, _ in near))
+    assert got == want
+    assert fuzzy.nearest_terms(rows, "name", known.limit(0), "term", ["g"]).count() == 0
+    assert fuzzy.nearest_terms(rows.limit(0), "name", known, "term", ["g"]).count() == 0
+
+
+def test_levels_are_looked_up_inside_the_one_above(spark):
+    co = spark.createDataFrame([("1", "Freedonia", "FRE", "X", "10"), ("2", "Sylvania", "SYL", "X", "20")],
+                               "iso string, country string, iso3 string, continent string, geonameid string")
+    a1 = spark.createDataFrame([("1.a", "North", 11), ("2.a", "North", 21)], "code string, name string, geonameid long")
+    a2 = spark.createDataFrame([("2.a.x", "Lakes", 22)], "code string, name string, geonameid long")
+    ci = spark.createDataFrame([(100, "Springfield", "1", "a", None), (200, "Springfield", "2", "a", "x"), (201, "Somewhere", "9", None, None)],
+                               "geonameid long, place_name string, country_code string, admin1_code string, admin2_code string")
+    rows = spark.createDataFrame([("Sylvannia", "Nroth", "Lakes", "Sprngfield"), ("Freedonia", "North", None, "SPRINGFIELD"), ("nowhere", None, None, "springfeld"),
+                                  ("Freedonia", "South", "Lakes", "springfield"), (None, None, None, None), ("Freedonia", None, None, "Somewhere"),
+                                  (None, None, None, "Somewhere"), ("Freedonia", "North", None, "SPRINGFIELD")],
+                                 "country string, admin1 string, admin2 string, city string")
+    got = places.resolve_levels(rows, {lv: lv for lv in places.LEVELS}, places.units(co, a1, a2, ci)).collect()
+    ids = {(r["country"], r["admin1"], r["city"]): [r[f"{lv}_id"] for lv in places.LEVELS] for r in got}
+    assert len(got) == 7
+    assert ids == {("Sylvannia", "Nroth", "Sprngfield"): [20, None, 22, 200], ("Freedonia", "North", "SPRINGFIELD"): [10, 11, None, 100],
+                   ("nowhere", None, "springfeld"): [None, None, None, 100], ("Freedonia", "South", "springfield"): [10, None, None, 100],
+                   (None, None, None): [None] * 4, ("Freedonia", None, "Somewhere"): [10, None, None, None], (None, None, "Somewhere"): [None, None, None, 201]}
+
+
+def test_recipes_are_read_and_applied(spark):
+    good = json.dumps({"category_name": "year", "instance_columns": ["y1", "y2", "y2", "gone"], "pivot_columns": ["who"]})
+    bad = [None, "no json", "{}", json.dumps({"category_name": "x", "instance_columns": []}), json.dumps({"instance_columns": ["y1"]})]
+    recipes = spark.createDataFrame([("t", "c0", good)] + [("t", f"b{i}", b) for i, b in enumerate(bad)] + [("unused", "c0", good)],
+                                    "tab string, cluster_id string, unpivot_recipe string")
+    read = factoring.read_recipes(recipes, ["tab"])
+    assert {r["cluster_id"]: r["problem"] for r in read.collect() if r["tab"] == "t"} == {
+        "c0": None, "b0": "no recipe", "b1": "not a recipe", "b2": "not a recipe", "b3": "no instance columns", "b4": "no category"}
+    wide = spark.createDataFrame([("t", 1, '{"y1": 5, "y2": "five", "who": "me", "other": 1}'), ("t", 2, '{"y1": null, "who": [1, 2]}'), ("t", 3, "{}"),
+                                  ("t", 4, None), ("no recipe", 5, '{"y1": 5}'), ("t", 1, '{"y1": 5, "y2": "five", "who": "me", "other": 1}')],
+                                 "tab string, row long, cells string").withColumn("cells", F.parse_json("cells"))
+    long = factoring.apply_recipes(wide, read, ["tab"], ["row"])
+    got = sorted((r["row"], r["category"], r["instance"], r["kind"], r["q"], r["who"]) for r in long.select(
+        "*", F.schema_of_variant("quantity").alias("kind"), F.coalesce(F.col("quantity").cast("string"), F.lit("-")).alias("q"),
+        F.to_json(F.col("pivots")["who"]).alias("who")).collect())
+    assert got == [(1, "year", "y1", "BIGINT", "5", '"me"')] * 2 + [(1, "year", "y2", "STRING", "five", '"me"')] * 2 + [(2, "year", "y1", "VOID", "-", "[1,2]")]
+    assert factoring.apply_recipes(wide.limit(0), read, ["tab"], ["row"]).count() == 0
+    assert factoring.apply_recipes(wide, read.limit(0), ["tab"], ["row"]).count() == 0
