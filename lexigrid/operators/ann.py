@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.operators import similarity
+from lexigrid.operators import encode, similarity
 from lexigrid.session import cut_lineage
 
 N_LOOK = 8             # cells looked into at least
@@ -53,15 +53,17 @@ def certified_search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: st
     """Exact ``k`` nearest by cells: probe_key, corpus_key, score, rank, and cells_read (of each probe).
 
     No row of a cell is nearer to a probe than the angle to its centre less the cell's widest angle.  A probe looks into
-    the cells in the order of that bound, in rounds that double, and is done once the next bound is under its k-th score.
-    Keys are unique; vectors have one width.
+    the cells in the order of that bound, in two rounds, and is done once the next bound is under its k-th score.  Probes
+    still open get the rest of the cells that may hold a nearer row: one by one if that are few, else in a fixed number of
+    blocks of cells, so that a probe is sent a bounded number of times where bounds tell little.  ``cells_read`` counts
+    the cells whose bound asked for them.  Keys are unique; vectors have one width.
     """
     corpus = cut_lineage(corpus.select(corpus_key, vec).where(F.col(vec).isNotNull()))
     centres = _fit(corpus, corpus_key, vec, n_cells)
     table = pa.table({"cell": pa.array(range(len(centres)), pa.int32()), vec: pa.array(list(centres), pa.list_(pa.float64()))})
     placed = similarity.nearest(corpus, corpus.sparkSession.createDataFrame(table), 1, [corpus_key], "cell", vec).drop("score", "rank")
     sent = corpus.sparkSession.sparkContext.broadcast(centres)   # sqrt(n) of them, bounded by the sample
-    unit = similarity.matrix_of
+    unit, tile = similarity.matrix_of, similarity.ROWS_PER_BLOCK
 
     @F.arrow_udf("double")
     def angle(vecs: pa.Array, cell: pa.Array) -> pa.Array:
@@ -70,42 +72,79 @@ def certified_search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: st
         return pa.array(np.where((x * x).sum(axis=1) > 0, out, np.pi) if len(x) else out)   # a zero vector has no angle
 
     placed = cut_lineage(placed.withColumn("_angle", angle(vec, "cell")))
-    held = placed.groupBy("cell").agg(F.max("_angle").alias("r")).toArrow()                  # a row for each cell
-    radii = corpus.sparkSession.sparkContext.broadcast((np.asarray(held.column("cell")), np.asarray(held.column("r"))))
-
-    @F.arrow_udf("array<struct<cell:int,bound:double>>")
-    def order(vecs: pa.Array) -> pa.Array:
+    held = placed.groupBy("cell").agg(F.max("_angle").alias("r"), F.count("*").alias("n")).orderBy("cell").toArrow()   # a row for each cell
+    cells, widest, sizes = (np.asarray(held.column(c)) for c in ("cell", "r", "n"))
+    per_block = max(similarity.ROWS_PER_BLOCK, min(-(-int(sizes.sum()) // similarity.CROSS_BLOCKS), similarity.BLOCK_CELLS // max(centres.shape[1], 1)))
+    blocks = (np.cumsum(sizes) - sizes) // per_block
+    radii = corpus.sparkSession.sparkContext.broadcast((cells, widest))
+
+    def asked_cells(vecs: pa.Array, floor: pa.Array, start: pa.Array, stop: pa.Array):
+        """Per probe the cells from place ``start`` to ``stop`` of its order that may hold a row over its floor."""
         cells, widest = radii.value
-        out = []
-        for v in unit(vecs) if len(cells) else np.zeros((len(vecs), 0)):
-            bound = np.full(len(cells), 1.0)
-            if v.any():
-                bound = np.cos(np.maximum(np.arccos(np.clip(sent.value[cells] @ v, -1, 1)) - widest, 0)) + 1e-6   # scores have six places
-            out.append([{"cell": int(cells[c]), "bound": float(bound[c])} for c in np.argsort(-bound, kind="stable")])
-        return pa.array(out, pa.list_(pa.struct([("cell", pa.int32()), ("bound", pa.float64())])))
-
-    asked = cut_lineage(probes.select(probe_key, vec).where(F.col(vec).isNotNull()).withColumn("_order", order(vec)))
+        floor = np.asarray(floor)
+        for s in range(0, len(vecs) if len(cells) else 0, tile):
+            x = unit(vecs.slice(s, tile))
+            bound = np.cos(np.maximum(np.arccos(np.clip(x @ sent.value[cells].T, -1, 1)) - widest, 0)) + 1e-6   # scores have six places
+            bound[~x.any(axis=1)] = 1.0
+            order = np.argsort(-bound, axis=1, kind="stable")[:, start[0].as_py():stop[0].as_py()]
+            ok = np.take_along_axis(bound, order, axis=1) >= floor[s:s + len(x), None]
+            yield from (cells[o[k]] for o, k in zip(order, ok))
+        yield from (cells for _ in range(0 if len(cells) else len(vecs)))
+
+    @F.arrow_udf("array<int>")
+    def look(vecs: pa.Array, floor: pa.Array, start: pa.Array, stop: pa.Array) -> pa.Array:
+        return pa.array(list(asked_cells(vecs, floor, start, stop)), pa.list_(pa.int32()))
+
+    asked = cut_lineage(probes.select(probe_key, vec).where(F.col(vec).isNotNull()).withColumn("_p", F.monotonically_increasing_id()))
     best = counts = None
-    start = 0
+    n_cells, start = len(cells), 0
     open_ = asked.withColumn("_floor", F.lit(-2.0))
     w = Window.partitionBy(probe_key).orderBy(F.desc("score"), F.asc(corpus_key))
-    while not open_.isEmpty():
-        step = F.filter(F.slice("_order", start + 1, width), lambda c: c["bound"] >= F.col("_floor"))
-        looks = cut_lineage(open_.select(probe_key, vec, F.explode(step).alias("c")).select(probe_key, vec, "c.cell"))
+
+    def of_cells(looks: DataFrame) -> DataFrame:
         found = similarity.cross_blocks(looks, placed.drop("_angle"), k + same_keys, [probe_key], corpus_key, [], ["cell"], vec, "score", "rank")
-        found = found.select(probe_key, corpus_key, "score")
+        return found.select(probe_key, corpus_key, "score")
+
+    def of_blocks(told: DataFrame) -> DataFrame:
+        """The open probes against the blocks of cells they ask for; rows that an earlier round found come again."""
+        spark = corpus.sparkSession
+        rows = cut_lineage(placed.select(corpus_key, vec, "cell").orderBy(corpus_key).withColumn("_c", F.monotonically_increasing_id()))
+        parts = max(1, -(-told.count() // per_block))
+        table = spark.createDataFrame(pa.table({"cell": pa.array(cells, pa.int32()), "_bc": pa.array(blocks.tolist(), pa.int32())}))
+        left = told.select("_p", F.col(vec).alias("_pv"), F.explode("_blocks").alias("_bc")).withColumn("_bp", F.expr(f"pmod(xxhash64(_p), {parts})"))
+        right = rows.join(F.broadcast(table), "cell").select("_c", F.col(vec).alias("_cv"), "_bc")
+        right = right.withColumn("_bp", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")))
+        found = similarity.best_of_blocks(left, right, ["_bc", "_bp"], k + same_keys)
+        return (found.join(asked.select("_p", probe_key), "_p").join(rows.select("_c", corpus_key), "_c")
+                .select(probe_key, corpus_key, F.col("_score").alias("score")))
+
+    for stop in (width, 3 * width, n_cells):
+        if open_.isEmpty() or start >= max(n_cells, 1):
+            break
+        step = encode.once(look)(vec, "_floor", F.lit(start), F.lit(stop))
+        told = None
+        if start >= 3 * width:
+            block_of = dict(zip(cells.tolist(), blocks.tolist()))
+            listed = F.array(*[F.lit(block_of.get(c, -1)) for c in range(len(centres))])
+            told = cut_lineage(open_.withColumn("_rest", step).select(*open_.columns, F.size("_rest").cast("long").alias("_n"), F.array_distinct(
+                F.transform("_rest", lambda c: F.get(listed, c))).alias("_blocks")).where(F.col("_n") > 0))
+            if told.isEmpty():
+                break
+        if told is not None and told.agg(F.avg("_n")).first()[0] > 2 * similarity.CROSS_BLOCKS:
+            found, read = of_blocks(told), told.select(probe_key, "_n")
+        else:
+            looks = cut_lineage((told if told is not None else open_).select(probe_key, vec, F.explode(step).alias("cell")))
+            found, read = of_cells(looks), looks.groupBy(probe_key).agg(F.count("*").alias("_n"))
         if same_keys:
             found = found.where(F.col(probe_key) != F.col(corpus_key))
-        read = looks.groupBy(probe_key).agg(F.count("*").alias("_n"))
         if best is not None:
-            found = best.select(probe_key, corpus_key, "score").unionByName(found)
+            found = best.select(probe_key, corpus_key, "score").unionByName(found).groupBy(probe_key, corpus_key).agg(F.max("score").alias("score"))
             read = counts.unionByName(read).groupBy(probe_key).agg(F.sum("_n").alias("_n"))
         best = cut_lineage(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
         counts = cut_lineage(read)
-        start, width = start + width, 2 * width
+        start = stop
         floors = best.where(F.col("rank") == k).select(probe_key, F.col("score").alias("_floor"))
-        open_ = (asked.where(F.size("_order") > start).join(floors, probe_key, "left").withColumn("_floor", F.coalesce("_floor", F.lit(-2.0)))
-                 .where(F.element_at("_order", F.lit(start + 1))["bound"] >= F.col("_floor")))
+        open_ = asked.join(floors, probe_key, "left").withColumn("_floor", F.coalesce("_floor", F.lit(-2.0)))
     if best is None:
         return (asked.select(probe_key).join(corpus.select(F.col(corpus_key)), F.lit(False))
                 .withColumns({"score": F.lit(0.0), "rank": F.lit(1), "cells_read": F.lit(0).cast("long")}))

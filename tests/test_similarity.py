@@ -290,3 +290,45 @@ def test_certified_search_is_exact_and_reads_few_cells(spark):
     assert all(abs(a - b) < 1e-6 for p in want for (_, a), (_, b) in zip(got[p], want[p]))
     assert np.mean([r.cells_read for r in found if r.pid < 600]) < 8
     assert ann.certified_search(df.limit(0), probes, 4, "pid", "id").count() == 0
+
+
+def test_rows_are_sent_to_a_bounded_number_of_blocks(df, sims, monkeypatch):
+    """However many rows a block could be cut into, a row meets a fixed number of blocks and nothing is lost."""
+    sent = similarity._pair_tasks(df, "id", "vec", [], None, 4).count()
+    assert sent <= 300 * (similarity.BLOCKS + similarity.PIVOTS)
+    got = [(r.key_a, r.key_b) for r in similarity.top_pairs(df, "id", 250, rows_per_block=4).collect()]
+    assert got == [(i, j) for _, i, j in sorted((-sims[i, j], i, j) for i in range(300) for j in range(i + 1, 300))[:250]]
+    monkeypatch.setattr(similarity, "ROWS_PER_BLOCK", 4)
+    assert similarity._block_counts(df, [], "vec").first()["_nb"] <= similarity.CROSS_BLOCKS
+    monkeypatch.setattr(similarity, "BLOCK_CELLS", 20 * len(df.first()["vec"]))
+    assert similarity._block_counts(df, [], "vec").first()["_nb"] == 15
+
+
+def test_best_neighbours_of_many_tiles_are_folded(df, sims, monkeypatch):
+    monkeypatch.setattr(similarity, "FOLD_ROWS", 10)
+    found = similarity._in_tasks.__defaults__
+    monkeypatch.setattr(similarity._in_tasks, "__defaults__", (*found[:-1], 10))
+    got = {r.id: r.neighbour for r in similarity.best_neighbour(df, "id", rows_per_block=8).collect()}
+    assert got == {i: min((-sims[i, j], j) for j in range(300) if j != i)[1] for i in range(300)}
+
+
+def test_mean_similarity_keeps_no_vectors(df, monkeypatch):
+    kept = []
+    keep = similarity.keep
+    monkeypatch.setattr(similarity, "keep", lambda x: kept.append(x.columns) or keep(x))
+    assert similarity.mean_similarity(df, ["id"], ["g"]).count() == 300
+    assert kept and not any("vec" in columns for columns in kept)
+
+
+def test_certified_search_sends_probes_a_bounded_number_of_times(spark, monkeypatch):
+    """Vectors without clusters, whose bounds rule out little: few looks by cell, the rest in blocks of cells, and still exact."""
+    x = np.random.default_rng(8).normal(size=(400, 24))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<double>")
+    looks, cross = [], similarity.cross_blocks
+    monkeypatch.setattr(similarity, "cross_blocks", lambda probes, *a: looks.append(probes.count()) or cross(probes, *a))
+    found = ann.certified_search(df, df.withColumnRenamed("id", "pid"), 3, "pid", "id", n_cells=50, width=2, same_keys=True).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(u @ u.T, 6)
+    want = {(i, n): j for i in range(400) for n, j in enumerate(sorted((j for j in range(400) if j != i), key=lambda j: (-scores[i, j], j))[:3], 1)}
+    assert {(r.pid, r["rank"]): r.id for r in found} == want
+    assert sum(looks) <= 400 * 3 * 2 and max(r.cells_read for r in found) > 6

@@ -44,3 +44,12 @@ def test_mean_vector(spark):
     df = spark.createDataFrame([("a", [1.0, 3.0]), ("a", [3.0, 5.0]), ("b", [7.0, 7.0])], "g string, vec array<float>")
     got = {r.g: r.vec for r in vectors.mean_vector(df, ["g"]).collect()}
     assert got == {"a": [2.0, 4.0], "b": [7.0, 7.0]}
+
+
+def test_mean_vector_of_long_uneven_vectors(spark):
+    """Parts of ``PART`` places: lengths that differ, missing numbers, empty and missing vectors."""
+    long = [float(i) for i in range(70)]
+    rows = [("a", long), ("a", [2.0, None]), ("a", None), ("a", []), ("b", []), ("c", None), (None, [1.0] * 33)]
+    df = spark.createDataFrame(rows, "g string, vec array<float>")
+    got = {r.g: (r.vec, r.n) for r in vectors.mean_vector(df, ["g"], count="n").collect()}
+    assert got == {"a": ([1.0, *long[1:]], 3), None: ([1.0] * 33, 1)}
