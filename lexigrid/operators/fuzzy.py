@@ -71,7 +71,9 @@ def nearest_terms(asked: DataFrame, name: str, terms: DataFrame, term: str, grou
     """The known term nearest to each distinct name by edit distance, among the terms of its group.
 
     Passes go from no edit up to ``edits``, each over the names still open, so that the many keys of a wide pass
-    are made for few names; what a pass reads and finds is checkpointed, as plans of passes upon passes grow without end.  Keys only propose: ``levenshtein`` decides, and no pair within reach is missed.  Returns group, name,
+    are made for few names; what a pass reads and finds is checkpointed, as plans of passes upon passes grow without end.
+    Keys are made once per text, whatever groups it is in, and travel with a number instead of the text; groups are
+    looked up for the pairs that are near.  Keys only propose: ``levenshtein`` decides, and no pair within reach is missed.  Returns group, name,
     term (of several equally near the smallest), distance and n_terms, how many were that near.  Names that nothing is near
     to within ``allowed_edits``, null names and names in a null group have no row; repeated rows count once.
     """
@@ -83,13 +85,21 @@ def nearest_terms(asked: DataFrame, name: str, terms: DataFrame, term: str, grou
     same = open_names.join(known.withColumn("_name", F.col("_term")), [*group, "_name"])
     found = cut_lineage(same.select(*group, "_name", "_term", F.lit(0).alias("distance"), F.lit(1).cast("long").alias("n_terms")))
     out = found
+    number = lambda df, text, no: cut_lineage(df.select(text).distinct().withColumn(no, F.monotonically_increasing_id()))
+    names, texts = number(open_names, "_name", "_n"), number(known, "_term", "_t")
     for e in range(1, edits + 1):
         open_names = cut_lineage(open_names.join(found, [*group, "_name"], "left_anti"))
         # short rows that grow into many keys: by their bytes alone they would be dealt to too few tasks
         wanting = open_names.where(allowed_edits(F.col("_name"), edits) >= e)
         held = known.join(wanting.select(*group).distinct(), group, "left_semi") if group else known
-        met = _keyed(spread(wanting), "_name", e, True).join(_keyed(spread(held), "_term", e, False), [*group, "_key"])
-        near = met.where(F.levenshtein("_name", "_term", e) == e).select(*group, "_name", "_term").distinct()
+        asking = names.join(wanting.select("_name").distinct(), "_name", "left_semi")
+        asked_for = texts.join(held.select("_term").distinct(), "_term", "left_semi") if group else texts
+        # the planner takes a side for as small as its texts; its keys are many times that and must not be broadcast
+        met = (_keyed(spread(asking), "_name", e, True).select("_key", "_n").hint("merge")
+               .join(_keyed(spread(asked_for), "_term", e, False).select("_key", "_t").hint("merge"), "_key").select("_n", "_t").distinct())
+        near = met.join(names, "_n").join(texts, "_t").where(F.levenshtein("_name", "_term", e) == e).select("_name", "_term")
+        if group:
+            near = near.join(wanting, "_name").join(held, [*group, "_term"])
         found = cut_lineage(near.groupBy(*group, "_name").agg(F.min("_term").alias("_term"), F.lit(e).alias("distance"),
                                                        F.count("*").alias("n_terms")))
         out = out.unionByName(found)
