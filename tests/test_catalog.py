@@ -396,3 +396,55 @@ def test_recipes_are_read_and_applied(spark):
     assert got == [(1, "year", "y1", "BIGINT", "5", '"me"')] * 2 + [(1, "year", "y2", "STRING", "five", '"me"')] * 2 + [(2, "year", "y1", "VOID", "-", "[1,2]")]
     assert factoring.apply_recipes(wide.limit(0), read, ["tab"], ["row"]).count() == 0
     assert factoring.apply_recipes(wide, read.limit(0), ["tab"], ["row"]).count() == 0
+
+
+def test_topic_overlap_of_random_sets(spark):
+    draw = random.Random(11)
+    tables = {}
+    for i in range(150):
+        topics = set(draw.sample(range(60), draw.randrange(1, 40)))
+        tables[f"t{i:03}a"] = topics
+        tables[f"t{i:03}b"] = {draw.randrange(60) if draw.random() < 0.06 else x for x in topics}
+    df = spark.createDataFrame([(k, f"w{x}") for k, xs in tables.items() for x in xs], "t string, w string")
+    names = {}
+    for k in sorted(tables):
+        names.setdefault(frozenset(tables[k]), k)
+    for ratio in (0.5, 0.8, 1.0):
+        want = {(a, b) for x, a in names.items() for y, b in names.items() if a < b and round(len(x & y) / len(x | y), 6) >= ratio}
+        got = [(r.table_a, r.table_b) for r in catalog.topic_overlap(df, "t", "w", ratio).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_topic_overlap_makes_few_candidates(spark):
+    """Sets out of few common topics: what meets by a key is near the number of answers, not the number of pairs."""
+    draw = random.Random(2)
+    df = spark.createDataFrame([(f"t{i}", f"w{x}") for i in range(600) for x in draw.sample(range(100), 30)], "t string, w string")
+    found = catalog.topic_overlap(df, "t", "w", 0.8)
+    assert found.count() == 0
+    joined = found._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count("Join Inner") == 1  # candidates are compared where they meet
+    assert "strategy=merge" in joined
+
+
+def test_keys_of_names_are_made_once_for_all_groups(spark, monkeypatch):
+    keyed, seen, plans, cut = fuzzy._keyed, [], [], fuzzy.cut_lineage
+    monkeypatch.setattr(fuzzy, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    monkeypatch.setattr(fuzzy, "_keyed", lambda rows, *a: seen.append((rows.columns, rows.count())) or keyed(rows, *a))
+    known = spark.createDataFrame([(g, t) for g in range(9) for t in ("springfield", "shelbyville")], "g long, term string")
+    rows = spark.createDataFrame([(g, t) for g in range(9) for t in ("sprinfield", "shelbyvlle")], "g long, name string")
+    got = fuzzy.nearest_terms(rows, "name", known, "term", ["g"]).collect()
+    assert len(got) == 18 and {(r["name"], r["term"], r["distance"]) for r in got} == {("sprinfield", "springfield", 1), ("shelbyvlle", "shelbyville", 1)}
+    assert all("g" not in columns and n <= 2 for columns, n in seen)
+    # keys are many times their texts, which the planner does not see: no side of their join may be broadcast
+    assert all("strategy=merge" in p for p in plans if "Generate" in p) and any("Generate" in p for p in plans)
+
+
+def test_a_name_of_one_token_is_one_row(spark):
+    cols = spark.createDataFrame([("d", 1, x) for x in ("may", "x_may", "_", "", None, "MAY")], "domain string, resource_id long, field_name string")
+    known = sets.enumerations(spark)
+    for least in (0, 1, 4):
+        got = {(r["strategy"], r["domain_name"]): (r["n_matches"], r["n_terms"]) for r in sets.containment_by_strategy(
+            cols, known, catalog.TABLE, "field_name", least).collect()}
+        want = {(s, r["domain_name"]): (r["n_matches"], r["n_terms"]) for s in sets.STRATEGIES
+                for r in sets.containment(sets.probe_terms(cols, catalog.TABLE, "field_name", s, least), known, catalog.TABLE).collect()}
+        assert got == want
