@@ -34,7 +34,8 @@ told AS (SELECT model, true_domain, symbol, p, s, p[1] = true_domain AS hit, lis
 def _matches(spark, d):
     """Three nearest languages of every document under every encoder."""
     docs = t.documents(spark, d).select(F.col("lang").alias("true_domain"), F.col("doc_id").alias("symbol"), "text")
-    symbols = encode.encode_models(docs, "text", ENCODERS).drop("text")
+    # the means and the predictions read the vectors: texts are encoded once
+    symbols = keep(encode.encode_models(docs, "text", ENCODERS).drop("text"))
     means = mean_vector(symbols, ["model", "true_domain"]).withColumnRenamed("true_domain", "predicted_domain")
     return evaluate.predictions(symbols, means, 3)
 

@@ -137,3 +137,17 @@ def test_models(spark):
     df = spark.createDataFrame([("abc",)], "s string")
     got = {r.model: len(r.vec) for r in encode.encode_models(df, "s", list(encode.DEFAULT_ENCODERS.values())).collect()}
     assert got == {r.model_name: r.model_dim for r in encode.model_table(spark, list(encode.DEFAULT_ENCODERS.values())).collect()}
+
+
+def test_texts_of_a_batch_are_encoded_few_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(encode, "CHARS_PER_CHUNK", 10)
+    lists = pa.array([["abcd", "ef"], ["ghi"], [], ["x" * 30], ["a"], ["b"]])
+    assert [part.to_pylist() for part in encode._slices(lists)] == [[["abcd", "ef"], ["ghi"], []], [["x" * 30]], [["a"], ["b"]]]
+    encoders = list(encode.DEFAULT_ENCODERS.values())
+    few = encode._encoded(pa.array([["abcd", "ef"], None, [], ["xyz" * 9], ["a"]]), encoders)
+    monkeypatch.undo()
+    assert [x.to_pylist() for x in few] == [x.to_pylist() for x in encode._encoded(pa.array([["abcd", "ef"], None, [], ["xyz" * 9], ["a"]]), encoders)]
+    plan = encode.encode_models(spark.createDataFrame([("a",)], "s string"), "s", encoders)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # one worker for all encoders
