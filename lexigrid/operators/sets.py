@@ -94,10 +94,12 @@ def containment_by_strategy(columns: DataFrame, sets: DataFrame, key: list[str],
     """
     whole = F.lower(F.col(name))
     tokens = F.filter(F.split(whole, "_"), lambda t: F.length(t) >= min_token)
-    tagged = F.concat(F.array(F.struct(whole.alias("term"), F.lit(True).alias("is_name"))),
-                      F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(False).alias("is_name"))))
+    tag = lambda t, w, k: F.struct(t.alias("term"), w.alias("is_name"), k.alias("is_token"))
+    # a name of one token is one row for both
+    tagged = F.when(F.instr(whole, "_") == 0, F.array(tag(whole, F.lit(True), F.length(whole) >= min_token))).otherwise(
+        F.concat(F.array(tag(whole, F.lit(True), F.lit(False))), F.transform(tokens, lambda t: tag(t, F.lit(False), F.lit(True)))))
     rows = columns.where(F.col(name).isNotNull()).select(*key, F.inline(tagged)).where(F.length("term") > 0)
-    terms = rows.groupBy(*key, "term").agg(F.bool_or("is_name").alias("_whole"), F.bool_or(~F.col("is_name")).alias("_token"))
+    terms = rows.groupBy(*key, "term").agg(F.bool_or("is_name").alias("_whole"), F.bool_or("is_token").alias("_token"))
     counts = [F.count_if("_whole").alias("whole"), F.count_if("_token").alias("tokens"), F.count("*").alias("both")]
     per = lambda df, out: df.select(*[c for c in df.columns if c not in STRATEGIES], F.explode(F.array(*[
         F.struct(F.lit(s).alias("strategy"), F.col(s).alias(out)) for s in STRATEGIES])).alias("_s")).select("*", "_s.*").drop("_s")
