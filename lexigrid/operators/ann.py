@@ -56,7 +56,7 @@ def certified_search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: st
     the cells in the order of that bound, in two rounds, and is done once the next bound is under its k-th score.  Probes
     still open get the rest of the cells that may hold a nearer row: one by one if that are few, else in a fixed number of
     blocks of cells, so that a probe is sent a bounded number of times where bounds tell little.  ``cells_read`` counts
-    the cells whose bound asked for them.  Keys are unique; vectors have one width.
+    the cells whose bound asked for them.  Rows of one key are told apart only as rows; vectors have one width.
     """
     corpus = cut_lineage(corpus.select(corpus_key, vec).where(F.col(vec).isNotNull()))
     centres = _fit(corpus, corpus_key, vec, n_cells)
@@ -106,7 +106,7 @@ def certified_search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: st
         return found.select(probe_key, corpus_key, "score")
 
     def of_blocks(told: DataFrame) -> DataFrame:
-        """The open probes against the blocks of cells they ask for; rows that an earlier round found come again."""
+        """The open probes against all rows of the blocks of cells that may hold one over their floor."""
         spark = corpus.sparkSession
         rows = cut_lineage(placed.select(corpus_key, vec, "cell").orderBy(corpus_key).withColumn("_c", F.monotonically_increasing_id()))
         parts = max(1, -(-told.count() // per_block))
@@ -126,19 +126,24 @@ def certified_search(corpus: DataFrame, probes: DataFrame, k: int, probe_key: st
         if start >= 3 * width:
             block_of = dict(zip(cells.tolist(), blocks.tolist()))
             listed = F.array(*[F.lit(block_of.get(c, -1)) for c in range(len(centres))])
-            told = cut_lineage(open_.withColumn("_rest", step).select(*open_.columns, F.size("_rest").cast("long").alias("_n"), F.array_distinct(
-                F.transform("_rest", lambda c: F.get(listed, c))).alias("_blocks")).where(F.col("_n") > 0))
+            all_cells = encode.once(look)(vec, "_floor", F.lit(0), F.lit(n_cells))
+            told = cut_lineage(open_.withColumn("_cells", all_cells).select(
+                *open_.columns, (F.size("_cells") - start).cast("long").alias("_n"),
+                F.array_distinct(F.transform("_cells", lambda c: F.get(listed, c))).alias("_blocks")).where(F.col("_n") > 0))
             if told.isEmpty():
                 break
         if told is not None and told.agg(F.avg("_n")).first()[0] > 2 * similarity.CROSS_BLOCKS:
             found, read = of_blocks(told), told.select(probe_key, "_n")
+            # blocks hold what earlier rounds found for these probes
+            again = told.select(F.col(probe_key).alias("_again")).distinct()
+            best = best.join(again, F.col(probe_key).eqNullSafe(F.col("_again")), "left_anti")
         else:
             looks = cut_lineage((told if told is not None else open_).select(probe_key, vec, F.explode(step).alias("cell")))
             found, read = of_cells(looks), looks.groupBy(probe_key).agg(F.count("*").alias("_n"))
         if same_keys:
             found = found.where(F.col(probe_key) != F.col(corpus_key))
         if best is not None:
-            found = best.select(probe_key, corpus_key, "score").unionByName(found).groupBy(probe_key, corpus_key).agg(F.max("score").alias("score"))
+            found = best.select(probe_key, corpus_key, "score").unionByName(found)
             read = counts.unionByName(read).groupBy(probe_key).agg(F.sum("_n").alias("_n"))
         best = cut_lineage(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
         counts = cut_lineage(read)

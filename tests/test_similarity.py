@@ -305,9 +305,8 @@ def test_rows_are_sent_to_a_bounded_number_of_blocks(df, sims, monkeypatch):
 
 
 def test_best_neighbours_of_many_tiles_are_folded(df, sims, monkeypatch):
-    monkeypatch.setattr(similarity, "FOLD_ROWS", 10)
-    found = similarity._in_tasks.__defaults__
-    monkeypatch.setattr(similarity._in_tasks, "__defaults__", (*found[:-1], 10))
+    defaults = similarity._in_tasks.__defaults__
+    monkeypatch.setattr(similarity._in_tasks, "__defaults__", (*defaults[:-1], 10))
     got = {r.id: r.neighbour for r in similarity.best_neighbour(df, "id", rows_per_block=8).collect()}
     assert got == {i: min((-sims[i, j], j) for j in range(300) if j != i)[1] for i in range(300)}
 
@@ -332,3 +331,12 @@ def test_certified_search_sends_probes_a_bounded_number_of_times(spark, monkeypa
     want = {(i, n): j for i in range(400) for n, j in enumerate(sorted((j for j in range(400) if j != i), key=lambda j: (-scores[i, j], j))[:3], 1)}
     assert {(r.pid, r["rank"]): r.id for r in found} == want
     assert sum(looks) <= 400 * 3 * 2 and max(r.cells_read for r in found) > 6
+
+
+def test_certified_search_by_cells_and_by_blocks_gives_repeated_rows_alike(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(150, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] * 2, "id long, vec array<double>")
+    ask = lambda: _shown(ann.certified_search(df, df.withColumnRenamed("id", "pid"), 3, "pid", "id", n_cells=40, width=2, same_keys=True).drop("cells_read"))
+    blocks = ask()
+    monkeypatch.setattr(similarity, "CROSS_BLOCKS", 1000)
+    assert blocks == ask() and len(blocks) == 450
