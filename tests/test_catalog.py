@@ -2,6 +2,7 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -448,3 +449,44 @@ def test_a_name_of_one_token_is_one_row(spark):
         want = {(s, r["domain_name"]): (r["n_matches"], r["n_terms"]) for s in sets.STRATEGIES
                 for r in sets.containment(sets.probe_terms(cols, catalog.TABLE, "field_name", s, least), known, catalog.TABLE).collect()}
         assert got == want
+
+
+def test_topic_overlap_of_common_topics_meets_in_blocks(spark, monkeypatch):
+    """Large sets out of few topics agree on parts by chance: by keys, hundreds of partners met each set here."""
+    draw = random.Random(7)
+    tables = {f"t{i:04}": {x for x in range(i % 3 * 20, i % 3 * 20 + 24) if draw.random() < 0.9} for i in range(900)}
+    df = spark.createDataFrame([(k, f"w{x}") for k, xs in tables.items() for x in xs] + [(None, "w1"), ("t0001", None)], "t string, w string")
+    names = {}
+    for k in sorted(tables):
+        names.setdefault(frozenset(tables[k]), []).append(k)
+    want = {(x[0], y[0]): (len(x), len(y), len(a), len(b), len(a & b)) for a, x in names.items() for b, y in names.items()
+            if x[0] < y[0] and round(len(a & b) / len(a | b), 6) >= 0.8}
+    monkeypatch.setattr(catalog, "TILE_SETS", 100)
+    found = catalog.topic_overlap(df, "t", "w", 0.8)
+    assert "strategy=merge" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [((r.table_a, r.table_b), (r.tables_a, r.tables_b, r.n_a, r.n_b, r.n_shared)) for r in found.collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_shared_topics_are_exact_where_topics_are_folded(monkeypatch):
+    draw = np.random.default_rng(4)
+    sets = [np.sort(draw.choice(9_000, n, replace=False)) for n in draw.integers(1, 120, 150)]
+    sets += [np.unique(np.where(draw.random(len(s)) < 0.1, draw.integers(0, 9_000, len(s)), s)) for s in sets]
+    sets.sort(key=len)
+    k = np.array([len(s) for s in sets])
+    side = k, np.cumsum(k) - k, np.concatenate(sets)
+    monkeypatch.setattr(catalog, "TILE_SETS", 70)
+    least = 0.5
+    i, j, n = catalog._shared(side, side, least / (1 + least))
+    want = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(300) for b in range(a + 1, 300)}
+    got = {(a, b): c for a, b, c in zip(i.tolist(), j.tolist(), n.tolist()) if a < b}
+    assert all(want[p] == c for p, c in got.items())
+    assert {p for p, c in want.items() if c and c / (k[p[0]] + k[p[1]] - c) >= least} <= set(got)
+
+
+def test_only_tables_of_pairs_are_compared(spark):
+    cols = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 2.0]), ("b", [3.0, 0.0]), ("c", [1.0, 1.0]), (None, [1.0, 0.0])], "t string, vec array<double>")
+    pairs = spark.createDataFrame([("a", "b")], "table_a string, table_b string")
+    mine = catalog.of_pairs(cols, pairs, "t")
+    assert sorted(r.t for r in mine.collect()) == ["a", "a", "b"]
+    assert [r.col_sim for r in catalog.pair_similarity(pairs, mine, "t").collect()] == [0.5]
