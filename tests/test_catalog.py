@@ -490,3 +490,26 @@ def test_only_tables_of_pairs_are_compared(spark):
     mine = catalog.of_pairs(cols, pairs, "t")
     assert sorted(r.t for r in mine.collect()) == ["a", "a", "b"]
     assert [r.col_sim for r in catalog.pair_similarity(pairs, mine, "t").collect()] == [0.5]
+
+
+def test_names_of_a_group_meet_without_sending_keys(spark, monkeypatch):
+    """Groups of which a text is in few: only texts are sent, in blocks where a group is large, and all pairs are found."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("ab") for _ in range(draw.choice([4, 7, 9, 23, 25, 28])))
+    terms = {(g, word()) for g in "xyz" for _ in range(60 if g == "x" else 8)}
+    asked = {(draw.choice("xyzw"), w[:1] + draw.choice(["", "a", "bb"]) + w[2:]) for _, w in sorted(terms) for _ in range(2)}
+    known, rows = spark.createDataFrame(sorted(terms), "g string, term string"), spark.createDataFrame(sorted(asked), "g string, name string")
+    want = {}
+    for g, name in asked:
+        near = sorted((_edits(name, x), x) for h, x in terms if h == g and _edits(name, x) <= (0 if len(name) < 3 else 1 if len(name) < 6 else 2))
+        if near:
+            want[g, name] = (near[0][1], near[0][0], sum(d == near[0][0] for d, _ in near))
+    keyed, made = fuzzy._keyed, []
+    monkeypatch.setattr(fuzzy, "_keyed", lambda *a: made.append(1) or keyed(*a))
+    monkeypatch.setattr(fuzzy, "TEXTS_PER_BLOCK", 16)
+    monkeypatch.setattr(fuzzy, "KEYS_AT_ONCE", 500)
+    for times, by_keys in ((1_000, False), (0, True)):
+        monkeypatch.setattr(fuzzy, "TIMES_SENT", times)
+        got = fuzzy.nearest_terms(rows, "name", known, "term", ["g"]).collect()
+        assert len(got) == len(want) and {(r["g"], r["name"]): (r["term"], r["distance"], r["n_terms"]) for r in got} == want
+        assert bool(made) == by_keys
