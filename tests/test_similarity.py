@@ -340,3 +340,19 @@ def test_certified_search_by_cells_and_by_blocks_gives_repeated_rows_alike(spark
     blocks = ask()
     monkeypatch.setattr(similarity, "CROSS_BLOCKS", 1000)
     assert blocks == ask() and len(blocks) == 450
+
+
+def test_best_in_tiles_is_exact_for_ties_and_zeros(monkeypatch):
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(similarity, "ROWS_PER_BLOCK", 16)
+    base = rng.integers(0, 3, (30, 8)).astype(np.float32)
+    a, b = base[rng.integers(0, 30, 70)], np.concatenate([base[rng.integers(0, 30, 100)], rng.normal(size=(50, 8)).astype(np.float32)])
+    a[3] = b[5] = 0
+    b[7, 2] = np.nan  # hides its own scores only
+    order = rng.permutation(len(b))
+    raw = np.round(similarity._unit_rows(a) @ similarity._unit_rows(b).T, 6)
+    ranked = [[j for j in np.lexsort((order, -row)).tolist() if not np.isnan(row[j])] for row in raw]
+    for k in (1, 3, 40):
+        r, c, v = similarity._best_in_tiles(a, b, order, k)
+        for i in range(len(a)):
+            assert c[r == i].tolist() == ranked[i][:k] and (v[r == i] == raw[i][ranked[i][:k]]).all()
