@@ -342,6 +342,38 @@ def test_certified_search_by_cells_and_by_blocks_gives_repeated_rows_alike(spark
     assert blocks == ask() and len(blocks) == 450
 
 
+def test_top_pairs_leave_out_what_cannot_be_among_them(spark, monkeypatch):
+    """Copies make a floor; the pairs compared are few, and ties, groups and rows of zeros come out as by brute force."""
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(400, 8))
+    vectors[300:310], vectors[310], vectors[311] = vectors[:10], 0.0, vectors[0] * 3
+    rows = [(i, "a" if i % 5 else "b", [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame([*rows, (1_000, "a", None)], "id long, g string, vec array<double>")
+    unit = vectors / np.maximum(np.sqrt((vectors ** 2).sum(axis=1, keepdims=True)), 1e-300)
+    scores = np.round(unit @ unit.T, 6)
+    pairs = [(-scores[i, j], rows[i][1], i, j) for i in range(400) for j in range(i + 1, 400)]
+    seen, scored = [], similarity._pair_tasks
+    monkeypatch.setattr(similarity, "_pair_tasks", lambda *a: seen.append(scored(*a)) or seen[-1])
+    for group, n in (([], 7), ([], 40), (["g"], 5)):
+        want = sorted((s, *([g] if group else []), i, j) for s, g, i, j in pairs if not group or rows[i][1] == rows[j][1])[:n]
+        got = [(-r.score, *[r[g] for g in group], r.key_a, r.key_b) for r in similarity.top_pairs(df, "id", n, group, rows_per_block=8).collect()]
+        assert got == want
+    met = seen[0].groupBy("_lo", "_hi").agg(F.count_if(F.col("_mine") == F.col("_lo")).alias("a"), F.count_if(F.col("_mine") == F.col("_hi")).alias("b"))
+    assert met.agg(F.sum(F.expr("if(_lo = _hi, a * (a - 1) / 2, a * b)"))).first()[0] < 400 * 399 / 2
+
+
+def test_tiles_left_out_hold_no_pair():
+    rng = np.random.default_rng(3)
+    rows = np.repeat(rng.normal(size=(40, 6)), 20, axis=0) + rng.normal(size=(800, 6)) * 0.02
+    unit = similarity._unit_rows(rows)
+    at = rng.permutation(800)
+    for lo, hi in ((at, at), (at[:500], at[500:])):
+        met = similarity._near_tiles(rows, lo, hi, 16, similarity._angle_limit(0.999))
+        covered = {(min(i, j), max(i, j)) for x, y, same in met for i in x.tolist() for j in y.tolist() if i != j}
+        want = {(min(i, j), max(i, j)) for i in lo.tolist() for j in hi.tolist() if i != j and round(unit[i] @ unit[j], 6) >= 0.999}
+        assert want <= covered and sum(len(x) * len(y) for x, y, _ in met) < len(lo) * len(hi) / 3
+
+
 def test_best_in_tiles_is_exact_for_ties_and_zeros(monkeypatch):
     rng = np.random.default_rng(0)
     monkeypatch.setattr(similarity, "ROWS_PER_BLOCK", 16)
